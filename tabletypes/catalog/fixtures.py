@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import to_cells
+from ..plans.session import cut
 
 # base table -> (table id, row id, [(column expression, header, semantic type)]); the expressions are valid in both dialects
 CORPUS = {
@@ -111,7 +112,8 @@ def columns(spark: SparkSession, sf: str) -> DataFrame:
         )
         parts.append(df.select(F.expr(table).alias("table_id")).distinct().select("table_id", F.inline(rows)))
     out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("dataset_id", F.concat("table_id", F.lit("+column_"), F.col("col_idx").cast("string")))
+    # the catalogue of columns is small beside the cells and is used many times over: write it once
+    return cut(out.withColumn("dataset_id", F.concat("table_id", F.lit("+column_"), F.col("col_idx").cast("string"))))
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,10 +139,6 @@ def cells_cte(types: list[str] | None = None, dirty: bool = False) -> str:
     return f"cells AS ({_cells_sql(types, dirty)})"
 
 
-def _duck_type(expr: str) -> str:
-    return expr
-
-
 def columns_cte() -> str:
     selects = []
     for name, (table, _, cols) in CORPUS.items():

@@ -118,3 +118,26 @@ def top(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str =
     """First ``n`` rows per key. The constant limit lets Spark cut each key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
+
+
+def weighted_quantiles(
+    hist: DataFrame, keys: list[str], x: str, weight: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact interpolated quantiles of a histogram with one row per (key, value); no group is held in memory."""
+    sizes = hist.groupBy(*keys).agg(F.sum(weight).alias("__n"))
+    upto = running(hist.select(*keys, x, weight), keys, [x], {"__u": F.col(weight)}, hot_rows=hot_rows).join(sizes, keys)
+
+    def at(k):
+        return F.min(F.when(F.col("__u") > k, F.col(x)))
+
+    out = upto.groupBy(*keys).agg(
+        F.first("__n").alias("__n"),
+        *[at(F.floor(F.lit(p) * (F.col("__n") - 1))).alias(f"__lo_{name}") for name, p in probs.items()],
+        *[at(F.ceil(F.lit(p) * (F.col("__n") - 1))).alias(f"__hi_{name}") for name, p in probs.items()],
+    )
+    cols = []
+    for name, p in probs.items():
+        at_p = F.lit(p) * (F.col("__n") - 1)
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        cols.append((lo + (hi - lo) * (at_p - F.floor(at_p))).alias(name))
+    return out.select(*keys, *cols)
