@@ -1,4 +1,4 @@
 """Queries over the given tables, one module per family of operators."""
 
-from . import corpus_queries, emd_queries, profile_queries  # noqa: F401
+from . import corpus_queries, emd_queries, label_queries, profile_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -100,7 +100,7 @@ _LAB = (
     "al AS (SELECT table_id FROM lab GROUP BY 1 HAVING count(*) FILTER (WHERE kind = 'numeric') > 0 AND count(*) FILTER (WHERE kind = 'text') = 0)"
 )
 _PR0 = (
-    "SELECT DISTINCT a.dataset_id AS u, b.dataset_id AS l FROM kd a JOIN tx ta ON a.table_id = ta.table_id JOIN tx tb USING (semantic_type) "
+    "SELECT DISTINCT a.dataset_id AS u, b.dataset_id AS l FROM kd a JOIN tx ta ON a.table_id = ta.table_id JOIN tx tb ON ta.semantic_type = tb.semantic_type "
     "JOIN lab b ON b.table_id = tb.table_id WHERE a.split = 'unlabeled' AND a.kind = 'numeric' AND b.kind = 'numeric' AND a.table_id <> b.table_id"
 )
 _PR1 = _PR0 + " UNION SELECT a.dataset_id, b.dataset_id FROM kd a, lab b WHERE a.split = 'unlabeled' AND a.kind = 'numeric' AND b.kind = 'numeric' AND b.table_id IN (SELECT table_id FROM al)"
@@ -110,7 +110,7 @@ def _pruned(spark, sf, mode):
     gold, splits, u, l = numeric_sides(spark, sf)
     tagged = kinds(gold).join(splits, "dataset_id")
     cand = E.pruned_candidates(
-        tagged.where("split = 'unlabeled' and kind = 'numeric'"), tagged.where("split = 'labeled'").drop("split"), mode
+        tagged.where("split = 'unlabeled' and kind = 'numeric'").select("dataset_id", "table_id"), tagged.where("split = 'labeled'").drop("split"), mode
     )
     return E.lf_numeric_emd(u, l, gold, FACTOR, cand).withColumn("emd", S.rnd("emd"))
 
@@ -167,8 +167,8 @@ def _two_emd(source_o: str, source_i: str, group: str = "''") -> str:
     """EMD of (o attribute, i attribute) from long rows (g, attr, x)."""
     return (
         f"lo AS ({source_o}), li AS ({source_i}), "
-        "so AS (SELECT g, attr, x, count(*) / sum(count(*)) OVER (PARTITION BY g, attr) AS w FROM lo GROUP BY ALL), "
-        "si AS (SELECT g, attr, x, count(*) / sum(count(*)) OVER (PARTITION BY g, attr) AS w FROM li GROUP BY ALL), "
+        "so AS (SELECT g, attr, x, count(*) / sum(count(*)) OVER (PARTITION BY g, attr) AS w FROM lo GROUP BY g, attr, x), "
+        "si AS (SELECT g, attr, x, count(*) / sum(count(*)) OVER (PARTITION BY g, attr) AS w FROM li GROUP BY g, attr, x), "
         "ao AS (SELECT DISTINCT attr FROM lo), ai AS (SELECT DISTINCT attr FROM li), "
         "wt AS (SELECT g, so.attr AS o_attr, ai.attr AS i_attr, x, w FROM so, ai UNION ALL SELECT g, ao.attr, si.attr, x, -w FROM si, ao), "
         "nt AS (SELECT g, o_attr, i_attr, x, sum(w) AS w FROM wt GROUP BY ALL), "

@@ -91,14 +91,14 @@ _WANTED = "(ascii(char) BETWEEN 32 AND 126 OR ascii(char) = 12)"
     "list_sort(list(k)) AS ks FROM k JOIN sz USING (dataset_id) GROUP BY ALL), "
     "m AS (SELECT *, s1 / n AS mean, s2 / n - (s1 / n) ** 2 AS m2, s3 / n - 3 * (s1 / n) * s2 / n + 2 * (s1 / n) ** 3 AS m3, "
     "s4 / n - 4 * (s1 / n) * s3 / n + 6 * (s1 / n) ** 2 * s2 / n - 3 * (s1 / n) ** 4 AS m4, n - sm AS z, (n - 1) // 2 AS i1, n // 2 AS i2 FROM g) "
-    "SELECT dataset_id, char, sm > 0 AS \"any\", sm = n AS \"all\", round(mean, 6) + 0.0 AS mean, round(CASE WHEN m2 > 1e-9 THEN m2 ELSE 0 END, 4) + 0.0 AS var, "
+    "SELECT dataset_id, char, sm > 0 AS \"any\", sm = n AS \"all\", round(mean + 1e-10, 6) + 0.0 AS mean, round(CASE WHEN m2 > 1e-9 THEN m2 ELSE 0 END + 1e-8, 4) + 0.0 AS var, "
     "CASE WHEN sm = n THEN lo ELSE 0 END AS min, hi AS max, "
     "((CASE WHEN i1 < z THEN 0 ELSE ks[i1 - z + 1] END) + (CASE WHEN i2 < z THEN 0 ELSE ks[i2 - z + 1] END)) / 2 AS median, s1::BIGINT AS sum, "
-    "round(CASE WHEN m2 > 1e-9 THEN m4 / (m2 * m2) - 3 END, 4) + 0.0 AS kurtosis, round(CASE WHEN m2 > 1e-9 THEN m3 / m2 ** 1.5 END, 4) + 0.0 AS skewness FROM m",
+    "round(CASE WHEN m2 > 1e-9 THEN m4 / (m2 * m2) - 3 END + 1e-8, 4) + 0.0 AS kurtosis, round(CASE WHEN m2 > 1e-9 THEN m3 / m2 ** 1.5 END + 1e-8, 4) + 0.0 AS skewness FROM m",
 )
 def a4(spark, sf):
     f = P.char_features(X.cells(spark, sf, _ALL))
-    return f.withColumns({"mean": S.rnd("mean"), **{c: S.rnd(c, 4) for c in ("var", "kurtosis", "skewness")}})
+    return f.withColumns({"mean": S.rnd(F.col("mean") + 1e-10), **{c: S.rnd(F.col(c) + 1e-8, 4) for c in ("var", "kurtosis", "skewness")}})
 
 
 @query(
