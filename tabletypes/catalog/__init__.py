@@ -1,4 +1,12 @@
 """Queries over the given tables, one module per family of operators."""
 
-from . import corpus_queries, emd_queries, label_queries, profile_queries  # noqa: F401
+from . import (  # noqa: F401
+    corpus_queries,
+    emd_queries,
+    entity_queries,
+    join_queries,
+    label_queries,
+    metric_queries,
+    profile_queries,
+)
 from .registry import QUERIES, SQL  # noqa: F401

@@ -112,7 +112,7 @@ def _pruned(spark, sf, mode):
     cand = E.pruned_candidates(
         tagged.where("split = 'unlabeled' and kind = 'numeric'").select("dataset_id", "table_id"), tagged.where("split = 'labeled'").drop("split"), mode
     )
-    return E.lf_numeric_emd(u, l, gold, FACTOR, cand).withColumn("emd", S.rnd("emd"))
+    return E.lf_numeric_emd(u, l, gold, FACTOR, cut(cand)).withColumn("emd", S.rnd("emd"))
 
 
 @query("l5_numeric_emd_pruned_0", f"WITH {SIDES}, {_LAB}, {emd_cte(_PR0)}, {NEAREST} {vote_sql()}")

@@ -53,7 +53,7 @@ def cosine_pairs(vecs: DataFrame, key: str, vec: str, dim: int, least: float) ->
     return both.join(ma, "a").join(mb, "b").where("ida < idb").select(F.col("ida").alias("a"), F.col("idb").alias("b"), "sim")
 
 
-def average_linkage(vecs: DataFrame, key: str, vec: str, dim: int, distance: float, steps=(1 / 256, 1 / 16, 1.0)) -> DataFrame:
+def average_linkage(vecs: DataFrame, key: str, vec: str, dim: int, distance: float, steps=(1 / 64, 1.0)) -> DataFrame:
     """Average-linkage cosine clusters cut at ``distance``: (id, cluster), the cluster named by its smallest id.
 
     With unit vectors the mean distance of two clusters is one minus the product of their mean vectors,

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import HOT_ROWS, running
+from ..plans.session import cut
 
 TIE_DIGITS = 9
 
 
-def emd(weights: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def emd(weights: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, largest: int | None = None) -> DataFrame:
     """Distance per key of signed weights ``(keys, x, w)``: +share of the left side, -share of the right one.
 
     The area between the two cumulative distributions is the sum of |running weight| times the gap to
     the next value.
     """
     net = weights.groupBy(*keys, "x").agg(F.sum("w").alias("w"))
-    steps = running(net, keys, ["x"], {"__u": F.col("w")}, {"__next": F.col("x")}, hot_rows)
+    steps = running(net, keys, ["x"], {"__u": F.col("w")}, {"__next": F.col("x")}, hot_rows, largest)
     gap = F.coalesce(F.col("__next") - F.col("x"), F.lit(0.0))
     return steps.groupBy(*keys).agg(F.sum(F.abs("__u") * gap).alias("emd"))
 
@@ -36,7 +37,13 @@ def emd_of_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, hot_rows:
         pairs.select("u", "l").join(lw, "u").select("u", "l", "x", "w")
         .unionByName(pairs.select("u", "l").join(rw, "l").select("u", "l", "x", (-F.col("w")).alias("w")))
     )
-    return emd(weights, ["u", "l"], hot_rows)
+    # a pair has at most the different values of both sides, which is cheap to know beforehand
+    return emd(weights, ["u", "l"], hot_rows, _most_values(left) + _most_values(right))
+
+
+def _most_values(hist: DataFrame) -> int:
+    sizes = hist.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
 
 
 def moments(hist: DataFrame) -> DataFrame:
@@ -97,14 +104,14 @@ def lf_numeric_emd(
     different types tie for it. A column with a single value has no deviation and hence no threshold.
     ``candidates(u, l)`` limits the pairs that may be compared.
     """
-    mu, ml = moments(unlabeled), moments(labeled)
+    mu, ml = cut(moments(unlabeled)), cut(moments(labeled))
     pairs = near_means(mu.where("std is not null"), ml, F.lit(factor) * F.col("std"))
     # columns of one value meet every labeled column: a point against k columns per type, a bounded side
     single = mu.where("std is null").select(F.col("dataset_id").alias("u")).crossJoin(ml.select(F.col("dataset_id").alias("l")))
     pairs = pairs.unionByName(single)
     if candidates is not None:
         pairs = pairs.join(candidates, ["u", "l"], "left_semi")
-    best = nearest_labeled(emd_of_pairs(pairs, unlabeled, labeled, hot_rows), types)
+    best = nearest_labeled(emd_of_pairs(cut(pairs), unlabeled, labeled, hot_rows), types)
     held = best.join(mu.select(F.col("dataset_id").alias("u"), "std"), "u")
     keep = (F.col("n_types") == 1) & (F.col("std").isNull() | (F.col("emd") < F.lit(factor) * F.col("std")))
     return held.where(keep).select(F.col("u").alias("dataset_id"), F.col("semantic_type").alias("label"), "emd")

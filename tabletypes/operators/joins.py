@@ -37,8 +37,9 @@ def shared_columns(outer: DataFrame, inner: DataFrame) -> tuple[list[str], list[
 def natural_string_join(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Inner join on all shared string columns; shared numeric columns come as ``o.x`` and ``i.x``; no nulls."""
     strings, numeric = shared_columns(outer, inner)
-    o = outer.select(*strings, *[F.col(c).alias(f"o.{c}") for c in numeric]).dropna()
-    i = inner.select(*strings, *[F.col(c).alias(f"i.{c}") for c in numeric]).dropna()
+    used = strings + numeric
+    o = outer.select(*used).dropna().select(*strings, *[F.col(c).alias(f"o.{c}") for c in numeric])
+    i = inner.select(*used).dropna().select(*strings, *[F.col(c).alias(f"i.{c}") for c in numeric])
     return o.join(i, strings, "inner")
 
 

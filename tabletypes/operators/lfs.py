@@ -77,7 +77,7 @@ def lf_header_similarity(columns: DataFrame, types: DataFrame, least: float = 0.
     hv = ngram_vectors(headers, "header", "header", n)
     tv = ngram_vectors(types.select("semantic_type").distinct().withColumn("short", S.short_type("semantic_type")), "semantic_type", "short", n)
     best = best_type(sparse_cosine(hv, tv, "header", "semantic_type"), "header", least)
-    return columns.join(best, "header").select("dataset_id", F.lit("header_similarity").alias("lf"), F.col("semantic_type").alias("label"), "sim")
+    return columns.select("dataset_id", "header").join(best, "header").select("dataset_id", F.lit("header_similarity").alias("lf"), F.col("semantic_type").alias("label"), "sim")
 
 
 def lf_known_labels(columns: DataFrame, generated: DataFrame) -> DataFrame:

@@ -66,13 +66,15 @@ def running(
     sums: dict[str, Column],
     following: dict[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums along ``order`` inside ``keys`` and, optionally, the next row's values.
 
-    ``order`` names ascending columns that tell the rows of a key apart.
+    ``order`` names ascending columns that tell the rows of a key apart. A caller that knows how many
+    rows a key can have at most passes it as ``largest`` and saves counting them.
     """
     following = following or {}
-    hot = hot_groups(df, keys, hot_rows)
+    hot = [] if largest is not None and largest <= hot_rows else hot_groups(df, keys, hot_rows)
     if not hot:
         w = Window.partitionBy(*keys).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

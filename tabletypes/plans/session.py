@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a session that names none, as in tests, gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="tabletypes-"))
+    return _own_folder[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written rows.
+    """Write ``df`` as a table in the shared checkpoint folder and continue from the written rows.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared storage, so a lost
-    executor costs nothing). Only a session that names none, as in tests, gets one of its own.
+    Shared storage survives the loss of executors. A written table rather than ``checkpoint()``, because
+    the optimizer then sees its true size and no constraints inherited from the cut plan, which would
+    grow from round to round of an iterative job.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabletypes-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
