@@ -7,6 +7,8 @@ from . import (  # noqa: F401
     join_queries,
     label_queries,
     metric_queries,
+    ml_queries,
     profile_queries,
+    retrieval_queries,
 )
 from .registry import QUERIES, SQL  # noqa: F401

@@ -8,7 +8,6 @@ from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import votes as V
-from ..plans.session import cut
 from . import fixtures as X
 from .emd_queries import SIDES, emd_cte, numeric_sides
 from .join_queries import _SC, type_scores
@@ -354,11 +353,9 @@ _FACTORS = [0.01, 0.02, 0.05, 0.2]
 )
 def m13(spark, sf):
     gold, _, u, l = numeric_sides(spark, sf)
-    mu, ml = cut(E.moments(u)), cut(E.moments(l))
-    # stored once for every column: pairs within the widest threshold decide all the smaller ones
-    pairs = cut(E.near_means(mu, ml, F.lit(max(_FACTORS)) * F.col("std")))
-    best = E.nearest_labeled(E.emd_of_pairs(pairs, u, l), gold).withColumnRenamed("u", "dataset_id").withColumnRenamed("semantic_type", "label")
-    every = mu.select("dataset_id", "std").join(best, "dataset_id", "left")
+    # stored once: the pairs within the widest threshold decide all the smaller ones
+    best = E.nearest_within(u, l, gold, max(_FACTORS)).drop("std")
+    every = E.moments(u).select("dataset_id", "std").join(best, "dataset_id", "left")
     out = M.threshold_sweep(every, gold, _FACTORS)
     return out.select("factor", S.rnd("coverage").alias("coverage"), S.rnd("macro_f1").alias("macro_f1"))
 

@@ -30,13 +30,6 @@ def unit(a) -> Column:
     return F.transform(_col(a), lambda x: x.cast("double") / n)
 
 
-def log_sum_exp(x: str) -> Column:
-    """Aggregate: log of the sum of exponentials, shifted by the largest value so nothing overflows."""
-    values = F.collect_list(x)
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
-
-
 def dirichlet(tf, doc_len, p_collection, mu: float) -> Column:
     """Dirichlet-smoothed probability of a term in a document."""
     return (_col(tf) + F.lit(float(mu)) * _col(p_collection)) / (_col(doc_len) + F.lit(float(mu)))

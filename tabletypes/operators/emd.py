@@ -90,31 +90,47 @@ def nearest_labeled(scored: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def lf_numeric_emd(
+def nearest_within(
     unlabeled: DataFrame,
     labeled: DataFrame,
     types: DataFrame,
-    factor: float = 0.01,
+    factor: float,
     candidates: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Vote of the nearest labeled numeric column: (dataset_id, label, emd).
+    """Nearest labeled column of every unlabeled one that has any within ``factor`` times its deviation:
+    (dataset_id, l, label, emd, n_types, std). ``candidates(u, l)`` limits the pairs that may be compared.
 
-    Abstains (no row) if the best distance reaches ``factor`` times the column's deviation or if
-    different types tie for it. A column with a single value has no deviation and hence no threshold.
-    ``candidates(u, l)`` limits the pairs that may be compared.
+    Columns of a single value have no deviation; they meet every labeled column, a side bounded by the
+    number of labeled columns per type.
     """
     mu, ml = cut(moments(unlabeled)), cut(moments(labeled))
     pairs = near_means(mu.where("std is not null"), ml, F.lit(factor) * F.col("std"))
-    # columns of one value meet every labeled column: a point against k columns per type, a bounded side
     single = mu.where("std is null").select(F.col("dataset_id").alias("u")).crossJoin(ml.select(F.col("dataset_id").alias("l")))
     pairs = pairs.unionByName(single)
     if candidates is not None:
         pairs = pairs.join(candidates, ["u", "l"], "left_semi")
     best = nearest_labeled(emd_of_pairs(cut(pairs), unlabeled, labeled, hot_rows), types)
     held = best.join(mu.select(F.col("dataset_id").alias("u"), "std"), "u")
+    return held.select(F.col("u").alias("dataset_id"), "l", F.col("semantic_type").alias("label"), "emd", "n_types", "std")
+
+
+def lf_numeric_emd(
+    unlabeled: DataFrame,
+    labeled: DataFrame,
+    types: DataFrame,
+    factor: float = 0.01,
+    candidates: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Vote of the nearest labeled numeric column: (dataset_id, label, emd).
+
+    Abstains (no row) if the best distance reaches ``factor`` times the column's deviation or if
+    different types tie for it. A column with a single value has no deviation and hence no threshold.
+    """
+    best = nearest_within(unlabeled, labeled, types, factor, candidates, hot_rows)
     keep = (F.col("n_types") == 1) & (F.col("std").isNull() | (F.col("emd") < F.lit(factor) * F.col("std")))
-    return held.where(keep).select(F.col("u").alias("dataset_id"), F.col("semantic_type").alias("label"), "emd")
+    return best.where(keep).select("dataset_id", "label", "emd")
 
 
 def related_tables(labels: DataFrame) -> DataFrame:
