@@ -10,5 +10,7 @@ from . import (  # noqa: F401
     ml_queries,
     profile_queries,
     retrieval_queries,
+    scalar_queries,
+    source_queries,
 )
 from .registry import QUERIES, SQL  # noqa: F401

@@ -140,6 +140,13 @@ def read_mentions(tables: DataFrame) -> DataFrame:
     return links.where("link is not null").select("t_id", "i", "j", F.col("link.surface").alias("surface"), F.col("link.target.id").alias("entity"), F.col("link.target.title").alias("title"))
 
 
+def flatten_header(header_cells: DataFrame) -> DataFrame:
+    """Header text of every column: its header cells joined in row order; ``header_cells(table_id, row_id, col_idx, text)``
+    (a table has a few header rows)."""
+    packed = header_cells.groupBy("table_id", "col_idx").agg(F.array_sort(F.collect_list(F.struct("row_id", "text"))).alias("h"))
+    return packed.select("table_id", "col_idx", F.array_join("h.text", " ").alias("header"))
+
+
 def decontaminate(mentions: DataFrame, test_pages: DataFrame, page: str = "page") -> DataFrame:
     """Drop training mentions whose page is part of the test corpus."""
     return mentions.join(test_pages.select(page).distinct(), page, "left_anti")

@@ -116,7 +116,8 @@ def read_chart_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Cells of charts' tables: TSV lines of id, table JSON, ...; columns in their ``order``; empty JSON dropped."""
     schema = "fid string, table_data string, layout string, chart_data string"
     raw = spark.read.csv(path, schema=schema, sep="\t", quote="", escape="")
-    parsed = raw.select("fid", F.from_json("table_data", CHART_DATA).alias("d")).where("d is not null and size(d) > 0")
+    shown = raw.where(F.col("chart_data").isNotNull() & ~F.trim("chart_data").isin("", "{}", "[]", "null"))
+    parsed = shown.select("fid", F.from_json("table_data", CHART_DATA).alias("d")).where("d is not null and size(d) > 0")
     entries = parsed.select("fid", F.map_entries(F.map_values("d")[0]["cols"]).alias("e"))
     ordered = F.array_sort(F.transform("e", lambda x: F.struct(x["value"]["order"].alias("order"), x["key"].alias("header"), x["value"]["data"].alias("data"))))
     cols = entries.select(F.col("fid").alias("table_id"), F.posexplode(ordered).alias("col_idx", "c"))
@@ -238,20 +239,24 @@ def read_csv_files_as_rows(spark: SparkSession, path: str, sep: str = ",") -> Da
 
 
 def parse_query_tables(tables: DataFrame, max_cols: int = 5, max_rows: int = 20) -> DataFrame:
-    """Cells of tables held as text: cells joined by ``_|_``, rows by ``_||_``; at most 20 rows of 5 cells.
+    """Cells of tables held as text: cells joined by ``_|_``, rows by ``_||_``; the first 20 rows of 5 cells.
 
-    A table whose rows differ in width has no cells. ``tables(table_id, headers, rows)``.
+    Blank cells and ``None`` are left out. A table has no cells if one of these rows is not as wide as
+    the header (more than five counts as one width). ``tables(table_id, headers, rows)``.
     """
-    rows = F.transform(F.split("rows", r"_\|\|_"), lambda r: F.split(r, r"_\|_"))
-    heads = F.split("headers", r"_\|_")
-    t = tables.select("table_id", heads.alias("heads"), rows.alias("all_rows"))
-    even = F.forall("all_rows", lambda r: F.size(r) == F.size("heads"))
-    kept = t.where(even).select("table_id", "heads", F.posexplode(F.slice("all_rows", 1, max_rows)).alias("row_id", "r"))
-    return kept.select("table_id", "heads", "row_id", F.posexplode(F.slice("r", 1, max_cols)).alias("col_idx", "value")).select(
-        "table_id", "row_id", "col_idx", F.get("heads", F.col("col_idx")).alias("header"), "value"
+    rows = F.transform(F.slice(F.split("rows", r"_\|\|_"), 1, max_rows), lambda r: F.split(r, r"_\|_"))
+    t = tables.select("table_id", F.split("headers", r"_\|_").alias("heads"), rows.alias("first_rows"))
+    over = F.lit(max_cols + 1)
+    even = F.forall("first_rows", lambda r: F.least(F.size(r), over) == F.least(F.size("heads"), over))
+    kept = t.where(even).select("table_id", "heads", F.posexplode("first_rows").alias("row_id", "r"))
+    cells = kept.select("table_id", "heads", "row_id", F.posexplode(F.slice("r", 1, max_cols)).alias("col_idx", "raw"))
+    value = F.trim("raw")
+    return cells.where((value != "") & (value != "None")).select(
+        "table_id", "row_id", "col_idx", F.trim(F.get("heads", F.col("col_idx"))).alias("header"), value.alias("value")
     )
 
 
 def read_query_table_tsv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, schema="table_id string, title string, caption string, headers string, rows string", sep="\t", quote="", escape="")
-    return parse_query_tables(raw)
+    """Query tables of a TSV with a header line and the fields number, id, title, caption, headers, rows, rest."""
+    schema = "idx bigint, table_id string, title string, caption string, headers string, rows string, rest string"
+    return parse_query_tables(spark.read.csv(path, schema=schema, sep="\t", header=True, quote="", escape=""))
