@@ -234,24 +234,29 @@ def w8(spark, sf):
     return E.kth_of_group(entity_cells(spark, sf), ["t_id"], [F.col("r_id"), F.col("c_id")], 2).select("t_id", "entity")
 
 
-# --- linking: a mention is a part's name in an order, candidates are the parts of that name ----------
+# --- linking: a mention is a part's name in an order, candidates are the parts of that name. A number in the
+# name keeps the ambiguity of a name the same at every scale, as in a real knowledge base -------------
 
 _MN = (
-    "mn AS (SELECT l_orderkey AS t_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, 0 AS j, p_name AS surface, l_partkey AS gold, c_mktsegment AS page, l_quantity "
+    "mn AS (SELECT l_orderkey AS t_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, 0 AS j, p_name || ' ' || (p_partkey // 2000) AS surface, l_partkey AS gold, c_mktsegment AS page, l_quantity "
     "FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey), "
-    "cn AS (SELECT p_name AS surface, p_partkey AS cand, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS pos FROM part WHERE p_size < 40)"
+    "cn AS (SELECT p_name || ' ' || (p_partkey // 2000) AS surface, p_partkey AS cand, row_number() OVER (PARTITION BY p_name, p_partkey // 2000 ORDER BY p_retailprice DESC, p_partkey) AS pos FROM part WHERE p_size < 40)"
 )
 
 
+def part_name():
+    return F.concat("p_name", F.lit(" "), F.floor(F.col("p_partkey") / 2000).cast("string"))
+
+
 def mentions(spark, sf):
     rows = order_rows(spark, sf)
     p = X.base(spark, sf, "part")
-    return rows.join(p, rows.l_partkey == p.p_partkey).select("t_id", F.col("r_id").alias("i"), F.lit(0).alias("j"), F.col("p_name").alias("surface"), F.col("l_partkey").alias("gold"), F.col("c_mktsegment").alias("page"))
+    return rows.join(p, rows.l_partkey == p.p_partkey).select("t_id", F.col("r_id").alias("i"), F.lit(0).alias("j"), part_name().alias("surface"), F.col("l_partkey").alias("gold"), F.col("c_mktsegment").alias("page"))
 
 
 def candidates(spark, sf):
     p = X.base(spark, sf, "part").where("p_size < 40")
-    ranked = p.select(F.col("p_name").alias("surface"), F.col("p_partkey").alias("cand"), (-F.col("p_retailprice")).alias("neg"))
+    ranked = p.select(part_name().alias("surface"), F.col("p_partkey").alias("cand"), (-F.col("p_retailprice")).alias("neg"))
     from ..plans.ordered import position
 
     return position(ranked, ["surface"], ["neg", "cand"], "pos").drop("neg")
@@ -310,13 +315,13 @@ def e5(spark, sf):
 
 @query(
     "e6_mention_coverage",
-    f"WITH {_MN} SELECT count(*) AS n, count(*) FILTER (WHERE surface NOT IN (SELECT p_name FROM part WHERE p_type = 'PROMO')) AS n_unseen, "
+    f"WITH {_MN} SELECT count(*) AS n, count(*) FILTER (WHERE surface NOT IN (SELECT p_name || ' ' || (p_partkey // 2000) FROM part WHERE p_type = 'PROMO')) AS n_unseen, "
     "count(*) FILTER (WHERE gold IN (SELECT p_partkey FROM part WHERE p_type <> 'SMALL')) AS n_typed, count(*) FILTER (WHERE gold IN (SELECT cand FROM cn)) AS n_in_vocabulary FROM mn",
 )
 def e6(spark, sf):
     p = X.base(spark, sf, "part")
     return E.mention_coverage(
-        mentions(spark, sf), p.where("p_type = 'PROMO'").select(F.col("p_name").alias("surface")),
+        mentions(spark, sf), p.where("p_type = 'PROMO'").select(part_name().alias("surface")),
         p.where("p_type <> 'SMALL'").select(F.col("p_partkey").alias("entity")), candidates(spark, sf).select(F.col("cand").alias("entity")),
     )
 
@@ -361,13 +366,13 @@ def m10(spark, sf):
 
 @query(
     "j13_attach_candidates",
-    f"WITH {_MN}, c1 AS (SELECT surface, count(*) AS n_cand, min(cand) AS first_cand FROM cn GROUP BY 1), ids AS (SELECT p_name AS title, min(p_partkey) AS id FROM part WHERE p_type <> 'SMALL' GROUP BY 1) "
+    f"WITH {_MN}, c1 AS (SELECT surface, count(*) AS n_cand, min(cand) AS first_cand FROM cn GROUP BY 1), ids AS (SELECT p_name || ' ' || (p_partkey // 2000) AS title, min(p_partkey) AS id FROM part WHERE p_type <> 'SMALL' GROUP BY 1) "
     "SELECT surface AS mention, n_cand, first_cand, id, count(*) AS n FROM mn LEFT JOIN c1 USING (surface) JOIN ids ON title = surface GROUP BY ALL",
 )
 def j13(spark, sf):
     m = mentions(spark, sf).select(F.col("surface").alias("mention"), F.col("surface").alias("title"))
     c = candidates(spark, sf).groupBy(F.col("surface").alias("mention")).agg(F.count(F.lit(1)).alias("n_cand"), F.min("cand").alias("first_cand"))
-    ids = X.base(spark, sf, "part").where("p_type <> 'SMALL'").groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("id"))
+    ids = X.base(spark, sf, "part").where("p_type <> 'SMALL'").groupBy(part_name().alias("title")).agg(F.min("p_partkey").alias("id"))
     return J.attach_candidates(m, c, ids).groupBy("mention", "n_cand", "first_cand", "id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -98,24 +98,74 @@ def _moments(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) -> dict[
     }
 
 
+SLICE_BYTES = 8_000_000
+
+
+def _count_bins(chars: list[str]):
+    """Arrow batches of cells to (dataset_id, char, k, f): in ``f`` cells the character occurs ``k`` times.
+
+    Counting bytes with numpy is many times cheaper than taking strings apart character by character.
+    Batches are worked off in slices of bounded size, so long texts do not pile up.
+    """
+    codes = [ord(c) for c in chars]
+    if max(codes) > 127:
+        raise ValueError("character features are counted for ASCII characters")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        wanted = np.zeros(256, dtype=bool)
+        wanted[codes] = True
+        names = np.array([chr(c) for c in range(128)] + ["length"], dtype=object)
+        for batch in batches:
+            ids = batch.column(0).dictionary_encode()
+            values = batch.column(1).cast(pa.large_binary())
+            offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+            if values.buffers()[2] is None:
+                continue
+            data = np.frombuffer(values.buffers()[2], dtype=np.uint8)
+            owner = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            start = 0
+            while start < len(values):
+                stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1)
+                stop = min(stop, len(values), start + 20_000)
+                text = data[offsets[start] : offsets[stop]]
+                cell = np.repeat(np.arange(stop - start, dtype=np.int64), np.diff(offsets[start : stop + 1]))
+                keep = wanted[text]
+                symbol = np.concatenate([text[keep].astype(np.int64), np.full(int(((text & 0xC0) != 0x80).sum()), 128)])
+                where = np.concatenate([cell[keep], cell[(text & 0xC0) != 0x80]])
+                counts = np.bincount(where * 129 + symbol, minlength=(stop - start) * 129)
+                at = np.flatnonzero(counts)
+                k = counts[at]
+                width = int(k.max()) + 1 if len(k) else 1
+                packed, f = np.unique((owner[start:stop][at // 129] * 129 + at % 129) * width + k, return_counts=True)
+                key = packed // width
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.dictionary.take(pa.array(key // 129)),
+                        pa.array(names[key % 129], type=pa.string()),
+                        pa.array(packed % width, type=pa.int64()),
+                        pa.array(f.astype(np.int64), type=pa.int64()),
+                    ],
+                    names=["dataset_id", "char", "k", "f"],
+                )
+                start = stop
+
+    return run
+
+
 def char_features(cells: DataFrame, chars: list[str] | None = None) -> DataFrame:
     """Per column and character, statistics of the count per cell; the pseudo character ``length`` counts all.
 
     Only (character, count) pairs that occur travel; the cells without the character are the remainder
     of the column size. A character that never occurs in a column has no row (all its statistics are 0).
     """
-    present = cells.where(F.col("value").isNotNull())
-    v = F.col("value")
-    wanted = F.array(*[F.lit(c) for c in (chars or FEATURE_CHARS)])
-    counts = F.transform(
-        F.array_intersect(F.split(v, ""), wanted),
-        lambda c: F.struct(c.alias("char"), (F.length(v) - F.length(F.replace(v, c))).cast("long").alias("k")),
-    )
-    whole = F.array(F.struct(F.lit("length").alias("char"), F.length(v).cast("long").alias("k")))
+    present = cells.where(F.col("value").isNotNull()).select("dataset_id", "value")
     bins = (
-        present.select("dataset_id", F.inline(F.concat(whole, counts)))
+        present.mapInArrow(_count_bins(chars or FEATURE_CHARS), "dataset_id string, char string, k bigint, f bigint")
         .groupBy("dataset_id", "char", "k")
-        .agg(F.count(F.lit(1)).alias("f"))
+        .agg(F.sum("f").alias("f"))
     )
     sizes = present.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
     # the number of different counts is bounded by the longest cell, so this window stays small
