@@ -17,7 +17,7 @@ from ..plans.session import cut
 CORPUS = {
     "lineitem": (
         "concat('lineitem_', l_linenumber)",
-        "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)",
+        "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', l_extendedprice)",
         [
             ("l_quantity", "Quantity", "quantity"),
             ("l_extendedprice", "Extended Price", "price"),

@@ -101,16 +101,22 @@ def nearest_within(
     """Nearest labeled column of every unlabeled one that has any within ``factor`` times its deviation:
     (dataset_id, l, label, emd, n_types, std). ``candidates(u, l)`` limits the pairs that may be compared.
 
-    Columns of a single value have no deviation; they meet every labeled column, a side bounded by the
-    number of labeled columns per type.
+    Columns of a single value have no deviation and hence no reach. They meet their candidates or, if none
+    are given, every labeled column (k per type, a bounded side); columns of the same value share that.
     """
     mu, ml = cut(moments(unlabeled)), cut(moments(labeled))
     pairs = near_means(mu.where("std is not null"), ml, F.lit(factor) * F.col("std"))
-    single = mu.where("std is null").select(F.col("dataset_id").alias("u")).crossJoin(ml.select(F.col("dataset_id").alias("l")))
-    pairs = pairs.unionByName(single)
+    single = mu.where("std is null").select(F.col("dataset_id").alias("u"), "mean")
     if candidates is not None:
-        pairs = pairs.join(candidates, ["u", "l"], "left_semi")
+        pairs = pairs.join(candidates, ["u", "l"], "left_semi").unionByName(candidates.join(single, "u", "left_semi").select("u", "l"))
+    else:
+        reps = single.groupBy("mean").agg(F.min("u").alias("u"))
+        pairs = pairs.unionByName(reps.select("u").crossJoin(ml.select(F.col("dataset_id").alias("l"))))
     best = nearest_labeled(emd_of_pairs(cut(pairs), unlabeled, labeled, hot_rows), types)
+    if candidates is None:
+        alike = single.join(reps.withColumnRenamed("u", "rep"), "mean").where("u <> rep").select("rep", F.col("u").alias("twin"))
+        twins = best.join(alike, F.col("u") == F.col("rep")).select(F.col("twin").alias("u"), *[c for c in best.columns if c != "u"])
+        best = best.unionByName(twins)
     held = best.join(mu.select(F.col("dataset_id").alias("u"), "std"), "u")
     return held.select(F.col("u").alias("dataset_id"), "l", F.col("semantic_type").alias("label"), "emd", "n_types", "std")
 

@@ -34,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="tabletypes-"))
     return _own_folder[0]
