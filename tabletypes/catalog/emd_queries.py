@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import corpus as C
 from ..operators import emd as E
-from ..operators import profile as P
 from ..operators import stats as T
 from ..plans.session import cut
 from . import fixtures as X

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import votes as V
 from . import fixtures as X

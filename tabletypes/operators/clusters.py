@@ -72,9 +72,10 @@ def average_linkage(vecs: DataFrame, key: str, vec: str, dim: int, distance: flo
             d = near_pairs(state.select("id", "vec"), dim, reach).select("a", "b", F.round(1 - V.dot("va", "vb"), 12).alias("d"))
             d = d.where(F.col("d") < limit)
             both = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-            nearest = cut(both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
-            back = nearest.select(F.col("a").alias("b"), F.col("b").alias("a"))
-            merges = nearest.join(back, ["a", "b"]).where("a < b")
+            nearest = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            # two clusters are each other's nearest if their ordered pair occurs twice
+            ends = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            merges = cut(ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b"))
             if merges.isEmpty():
                 break
             dropped = state.join(merges.select(F.col("b").alias("id"), F.col("a").alias("keep")), "id").select(

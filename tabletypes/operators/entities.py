@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import HOT_ROWS, running, top
+from ..plans.ordered import running, top
 
 
 def same_row_pairs(entity_cells: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -163,7 +163,7 @@ def rank_rows(
     """Rank row candidates by the product of max(1e-6, .) of the three probabilities, as a log score.
 
     ``candidates(query_id, cand)``, ``captions(query_id, caption)``, ``labels(query_id, label)``. Queries with
-    the same seeds, caption or label share the work: probabilities are computed for distinct keys.
+    the same seeds, caption or set of labels share the work: probabilities are computed for distinct keys.
     """
     cand = candidates.select("query_id", "cand").distinct()
     keyed = cand.join(sets.select("query_id", "sid"), "query_id").join(captions, "query_id")
@@ -171,18 +171,20 @@ def rank_rows(
     cap_pairs = keyed.select(F.col("caption").alias("key"), "cand").distinct()
     cap_terms = captions.select(F.col("caption").alias("key")).distinct().select("key", F.explode(S.clean_tokens("key", stop)).alias("term"))
     pce = p_terms(cap_terms, cap_pairs, caption_freq, caption_totals, mu).select(F.col("key").alias("caption"), "cand", F.col("p").alias("pce"))
-    lab = cand.join(labels, "query_id")
-    lab_pairs = lab.select(F.col("label").alias("key"), "cand").distinct()
-    lab_terms = lab_pairs.select("key").distinct().select("key", F.explode(S.clean_tokens("key", stop)).alias("term"))
+    packed = labels.groupBy("query_id").agg(F.array_sort(F.collect_set("label")).alias("ls"))  # a table's headers
+    label_sets = packed.select("query_id", F.md5(F.to_json("ls")).alias("lid"), "ls")
+    keyed = keyed.join(label_sets.select("query_id", "lid"), "query_id")
+    in_set = label_sets.select("lid", F.size("ls").alias("n_l"), F.explode("ls").alias("key")).distinct()
+    set_pairs = keyed.select("lid", "cand").distinct().join(in_set, "lid")
+    lab_pairs = set_pairs.select("key", "cand").distinct()
+    lab_terms = in_set.select("key").distinct().select("key", F.explode(S.clean_tokens("key", stop)).alias("term"))
     plt = p_terms(lab_terms, lab_pairs, header_terms, header_totals, mu)
     n_e = tables_of.groupBy(F.col("entity").alias("cand")).agg(F.count(F.lit(1)).alias("n_e"))
     hl = header_freq.select(F.col("entity").alias("cand"), F.col("header").alias("key"), F.col("n").alias("n_le"))
-    per_label = plt.join(n_e, "cand", "left").join(hl, ["key", "cand"], "left")
-    size = labels.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_l"))
-    mixed = lab.withColumnRenamed("label", "key").join(per_label, ["key", "cand"]).join(size, "query_id")
+    mixed = set_pairs.join(plt, ["key", "cand"]).join(n_e, "cand", "left").join(hl, ["key", "cand"], "left")
     share = F.coalesce(F.lit(1 - lam) / F.col("n_l") * F.coalesce("n_le", F.lit(0)) / F.col("n_e"), F.lit(0.0))
-    ple = mixed.groupBy("query_id", "cand").agg(F.sum(F.lit(lam) * F.col("p") + share).alias("ple"))
-    joined = keyed.join(pee, ["sid", "cand"], "left").join(pce, ["caption", "cand"], "left").join(ple, ["query_id", "cand"], "left")
+    ple = mixed.groupBy("lid", "cand").agg(F.sum(F.lit(lam) * F.col("p") + share).alias("ple"))
+    joined = keyed.join(pee, ["sid", "cand"], "left").join(pce, ["caption", "cand"], "left").join(ple, ["lid", "cand"], "left")
     parts = [F.log(F.greatest(F.lit(LEAST), F.coalesce(c, F.lit(0.0)))) for c in ("pee", "pce", "ple")]
     blend = 100 * F.coalesce("pee", F.lit(0.0)) + F.coalesce("pce", F.lit(0.0)) + 0.5 * F.coalesce("ple", F.lit(0.0))
     scored = joined.select("query_id", "cand", (parts[0] + parts[1] + parts[2]).alias("score"), blend.alias("blend"))
