@@ -317,3 +317,17 @@ def h3_kruskal(spark, sf):
 )
 def h3_anova(spark, sf):
     return T.rank_column_pairs(*_sides(spark, sf), "anova").withColumn("score", S.rnd("score", 4)).orderBy(F.desc("score"))
+
+
+@query("l7_lf_group_emd_correlated")
+def l7(spark, sf):
+    gold = X.gold(spark, sf)
+    splits = cut(C.split_absolute(gold, 8))
+    tagged = kinds(gold).join(splits, "dataset_id")
+    out = E.lf_group_emd_correlated(
+        X.cells(spark, sf, X.NUMERIC + X.TEXT),
+        tagged.where("split = 'unlabeled' and kind = 'numeric'"),
+        tagged.where("split = 'labeled'").drop("split"),
+        alpha=0.5,  # the given columns hardly go together, a strict level would leave no column
+    )
+    return out.withColumn("emd", S.rnd("emd"))

@@ -252,3 +252,51 @@ def group_emd(
     per_group = emd(_pair_weights(o, i, strings, attrs, attrs), [*strings, "o_attr", "i_attr"])
     reduce = {"mean": F.avg, "median": F.median, "min": F.min}[how]
     return per_group.groupBy("o_attr", "i_attr").agg(reduce("emd").alias("emd"), F.count(F.lit(1)).alias("n_groups"))
+
+
+def lf_group_emd_correlated(
+    cells: DataFrame, unlabeled: DataFrame, labeled: DataFrame, most_distinct: float = 0.1, alpha: float = 0.05, how: str = "mean"
+) -> DataFrame:
+    """Nearest labeled numeric column by the distance within groups of the text columns that go with a column.
+
+    For each unlabeled numeric column the labeled text columns of its table count that have few different
+    values (at most ``most_distinct`` of the rows) and whose groups differ in the column (Kruskal-Wallis
+    p below ``alpha``). Tables that have all their types are grouped by the same types, and the distances
+    of equal groups are reduced by mean, median or min. ``cells(dataset_id, table_id, row_id, value)``;
+    ``unlabeled(dataset_id)`` numeric; ``labeled(dataset_id, table_id, semantic_type, kind)``. Result:
+    (dataset_id, label, emd, n_groups).
+    """
+    from .corpus import numeric_cells
+    from .joins import having_all_per_query
+    from .stats import kruskal_wallis
+
+    text = labeled.where("kind = 'text'").select("dataset_id", "semantic_type")
+    texts = cells.where("value is not null").join(text, "dataset_id").select("table_id", "row_id", F.col("dataset_id").alias("g"), "semantic_type", "value")
+    size = texts.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    kinds = texts.select("g", "value").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("d"))
+    few = size.join(kinds, "g").where(F.col("d") <= most_distinct * F.col("n")).select("g")
+    texts = cut(texts.join(few, "g", "left_semi"))
+    numbers = numeric_cells(cells)
+    mine = cut(numbers.join(unlabeled.select("dataset_id"), "dataset_id", "left_semi").select("table_id", "row_id", F.col("dataset_id").alias("u"), "x"))
+    samples = mine.join(texts, ["table_id", "row_id"]).select("u", "g", "value", "x")
+    chosen = cut(kruskal_wallis(samples, ["u", "g"], "value").where(F.col("p") < alpha).select("u", "g"))
+    wanted = cut(chosen.join(text.withColumnRenamed("dataset_id", "g"), "g").select("u", "semantic_type").distinct())
+    tables = having_all_per_query(texts.select("table_id", "semantic_type").distinct(), "table_id", "semantic_type", wanted, "u")
+    own = unlabeled.select(F.col("dataset_id").alias("u"), F.regexp_extract("dataset_id", r"^(.*)\+column_\d+$", 1).alias("home"))
+    tables = cut(tables.join(own, "u").where("table_id <> home").select("u", "table_id"))
+    # the group of a row: its values of the wanted types, one entry per type
+    key = F.to_json(F.array_sort(F.collect_set(F.struct("semantic_type", "value"))))
+    u_rows = mine.select("u", "table_id", "row_id").join(chosen, "u").join(texts, ["table_id", "row_id", "g"]).groupBy("u", "row_id").agg(key.alias("grp"))
+    left = mine.join(u_rows, ["u", "row_id"]).groupBy("u", "grp", "x").agg(F.count(F.lit(1)).alias("cnt"))
+    l_rows = tables.join(wanted, "u").join(texts, ["table_id", "semantic_type"]).groupBy("u", "table_id", "row_id").agg(key.alias("grp"))
+    theirs = numbers.join(labeled.where("kind = 'numeric'").select("dataset_id"), "dataset_id", "left_semi")
+    right = theirs.select("table_id", "row_id", F.col("dataset_id").alias("l"), "x").join(l_rows, ["table_id", "row_id"])
+    right = cut(right.groupBy("u", "l", "grp", "x").agg(F.count(F.lit(1)).alias("cnt")))
+    met = right.select("u", "l", "grp").distinct().join(left.select("u", "grp").distinct(), ["u", "grp"])
+    lw = met.join(shares(left, ["u", "grp"]), ["u", "grp"]).select("u", "l", "grp", "x", "w")
+    rw = shares(right, ["u", "l", "grp"]).join(met, ["u", "l", "grp"], "left_semi").select("u", "l", "grp", "x", (-F.col("w")).alias("w"))
+    per_group = emd(lw.unionByName(rw), ["u", "l", "grp"])
+    reduce = {"mean": F.avg, "median": F.median, "min": F.min}[how]
+    scored = cut(per_group.groupBy("u", "l").agg(reduce("emd").alias("emd"), F.count(F.lit(1)).alias("n_groups")))
+    best = nearest_labeled(scored, labeled).where("n_types = 1")
+    return best.join(scored.select("u", "l", "n_groups"), ["u", "l"]).select(F.col("u").alias("dataset_id"), F.col("semantic_type").alias("label"), "emd", "n_groups")

@@ -94,3 +94,25 @@ def test_joined_emd_equals_the_join(spark):
     assert E.emd_joined(o, i, ["s"], ["v"]).first().emd == pytest.approx(brute(pdf.v_o.to_numpy(), pdf.v_i.to_numpy()))
     groups = [brute(g.v_o.to_numpy(), g.v_i.to_numpy()) for _, g in pdf.groupby("s")]
     assert E.group_emd(o, i, ["s"], ["v"]).first().emd == pytest.approx(np.mean(groups))
+
+
+def test_group_emd_finds_the_column_of_the_same_type(spark):
+    rng = np.random.default_rng(8)
+    rows, vals = [], {}
+    for t, spec in {"t1": {1: (0, 50)}, "t2": {1: (0, 50), 2: (20, 90)}}.items():
+        for r in range(120):
+            g = f"g{r % 3}"
+            rows.append((f"{t}+column_0", t, r, g))
+            for c, (lo, step) in spec.items():
+                x = float(lo + step * (r % 3) + rng.integers(0, 5))
+                rows.append((f"{t}+column_{c}", t, r, str(x)))
+                vals.setdefault((t, c, g), []).append(x)
+    cells = spark.createDataFrame(rows, "dataset_id string, table_id string, row_id int, value string")
+    labeled = spark.createDataFrame(
+        [("t1+column_0", "t1", "grp", "text"), ("t2+column_0", "t2", "grp", "text"), ("t2+column_1", "t2", "right", "numeric"), ("t2+column_2", "t2", "wrong", "numeric")],
+        "dataset_id string, table_id string, semantic_type string, kind string",
+    )
+    unlabeled = spark.createDataFrame([("t1+column_1",)], "dataset_id string")
+    r = E.lf_group_emd_correlated(cells, unlabeled, labeled).collect()
+    want = np.mean([brute(np.array(vals["t1", 1, g]), np.array(vals["t2", 1, g])) for g in ("g0", "g1", "g2")])
+    assert len(r) == 1 and r[0].label == "right" and r[0].n_groups == 3 and r[0].emd == pytest.approx(want)
