@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import column_bytes, mix, powers, prefix_sums, row_slices, union_spans
 
-GRAM = 16
+GRAM = 8
 SLICE = 1 << 20  # bytes hashed at a time
 FLUSH = 400_000  # fragments held by a map task
 BUCKET_BYTES = 16 << 20  # text per bucket
@@ -101,7 +101,7 @@ def _fingerprints(m: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
     raw = sizes + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -132,7 +132,7 @@ def _cut_rows(size: int, buckets: int):
         own = doc[order] == doc[first][group]  # occurrences in the first document share the fragment's fate
         late = order[~own]
         bucket = (mix(gram[first] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-        frag_order = np.argsort(bucket, kind="stable")
+        frag_order = np.lexsort((pos[first], doc[first], bucket))
         place = np.empty(len(first), np.int64)
         place[frag_order] = np.arange(len(first))
         occ, occ_frag = order[own], place[group[own]]
@@ -147,7 +147,8 @@ def _cut_rows(size: int, buckets: int):
             rows, lens = m[f], length[f]
             names.append(int(b))
             flags.append(False)
-            blobs.append(_pack(rows[np.arange(width) < lens[:, None]], lens.astype(np.uint8), doc[f], (occ_frag[x:y] - i).astype(np.int32), pos[occ[x:y]].astype(np.int32)))
+            times = np.bincount(occ_frag[x:y] - i, minlength=len(f)).astype(np.int32)
+            blobs.append(_pack(rows[np.arange(width) < lens[:, None]], lens.astype(np.uint8), np.diff(doc[f], prepend=0), times, pos[occ[x:y]].astype(np.int32)))
         if len(late):
             key, a, z = union_spans(doc[late], pos[late], pos[late] + length[late])
             to = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -220,14 +221,14 @@ def _bucket_spans(blobs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray
     width = _width(size)
     rows, lens, docs, occ_frag, occ_pos, base = [], [], [], [], [], 0
     for blob in blobs:
-        raw, length, doc, frag, pos = _unpack(blob, "u1", "u1", "i8", "i4", "i4")
+        raw, length, steps, times, pos = _unpack(blob, "u1", "u1", "i8", "i4", "i4")
         length = length.astype(np.int64)
         m = np.zeros((len(length), width), np.uint8)
         m[np.arange(width) < length[:, None]] = raw
         rows.append(m)
         lens.append(length)
-        docs.append(doc)
-        occ_frag.append(frag.astype(np.int64) + base)
+        docs.append(np.cumsum(steps))
+        occ_frag.append(np.repeat(np.arange(len(length)), times) + base)
         occ_pos.append(pos.astype(np.int64))
         base += len(length)
     m, length, doc, frag, pos = (np.concatenate(x) for x in (rows, lens, docs, occ_frag, occ_pos))
@@ -309,8 +310,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ranges of one document may overlap. Texts count as UTF-8; null, empty and short texts and rows without an id have no strings. Rows that
     share an id are repeats of one document. Other columns are not read; an empty table gives an empty result.
     """
-    if size < GRAM + 8 or 2 * size - GRAM > 255:
-        raise ValueError("size must lie between 24 and 135 bytes")
+    if size < 2 * GRAM or 2 * size - GRAM > 255:
+        raise ValueError("size must lie between 16 and 131 bytes")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(f"id IS NOT NULL AND octet_length(text) >= {size}")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
