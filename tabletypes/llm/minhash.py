@@ -1,9 +1,8 @@
 """Near-duplicate documents: universal-hash minima, banding, signature verification, exact confirmation, components.
 
 Lost links: a pair at the threshold 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6. Everything after the
-bands is exact: a bucket links its members to its smallest one; members of a bucket that are not yet in one
-component meet through the rarest shingles of their whole sets (a prefix of each set such that every pair above the threshold
-shares one), never as all pairs of the bucket.
+bands is exact: a bucket links its members to its smallest one, and where its members are then still in several components, these are
+compared in blocks through the rarest shingles of their whole sets. No pairs but confirmed links leave a task.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from .arrays import column_bytes, mix, shingle_sets
 from .components import components
 
 BANDS, ROWS = 32, 5
+BLOCK = 2000  # members of a bucket that one task compares
 _random = np.random.default_rng(20_240_607)
 FACTORS = (_random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
 SHIFTS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -39,19 +39,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, sig = [], [], [], []
+            n, k1, k2, sig, keys = [], [], [], [], []
             for s in shingle_sets(*column_bytes(batch.column(1)), size):
                 n.append(len(s))
                 k1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0x51ED))).view(np.int64)) if len(s) else 0)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "k1", "k2", "sig"])
+                best = signature(s)
+                sig.append((best & np.uint32(0xFF)).astype(np.uint8).tobytes() if len(s) else None)
+                bands = mix(mix(best[0::ROWS].astype(np.uint64)) + np.arange(BANDS, dtype=np.uint64))
+                for r in range(1, ROWS):
+                    bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + best[r::ROWS])
+                keys.append(bands.tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], names=["id", "n", "k1", "k2", "sig", "bands"])
 
     return run
 
 
 def _likely(percent: int):
-    """Pairs whose signatures agree often enough; five and a half standard deviations below the threshold stay."""
+    """Pairs whose signatures (a byte of each minimum) agree often enough; five and a half standard deviations below the threshold stay."""
     total = BANDS * ROWS
     p = percent / 100
     least = total * p - 5.5 * math.sqrt(total * p * (1 - p))
@@ -59,7 +64,7 @@ def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, total) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, total) for i in (2, 3))
                 batch = batch.filter(pa.array((x == y).sum(axis=1) >= least))
             yield batch.select(["u", "v"])
 
@@ -95,29 +100,97 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, perce
     return _both(likely, needed, "text").mapInArrow(_confirmed(size, percent), "u long, v long")
 
 
-def _prefix_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of documents in different components that share one of their rarest shingles; no pair above the threshold is left out.
+def confirmed_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components among a few thousand sets, enough to join all that belong together.
 
-    A set of n shingles that reaches the threshold with another shares ceil(percent * n / 100) with it, so the first
-    n - that + 1 shingles of both, in one order for all, have one in common. The order is by frequency.
+    A set of n shingles that reaches the threshold with another shares ceil(percent * n / 100) with it, so in one order for all, here by
+    frequency, the first n - that + 1 shingles of both have one in common. Only sets that meet so are compared, as wholes.
     """
+    n = np.array([len(s) for s in sets], np.int64)
+    doc = np.repeat(np.arange(len(sets)), n)
+    _, token, often = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    place = np.empty(len(often), np.int64)
+    place[np.argsort(often, kind="stable")] = np.arange(len(often))
+    token = place[token]
+    order = np.lexsort((token, doc))
+    token, begin = token[order], np.cumsum(n) - n
+    in_prefix = np.arange(len(token)) - begin[doc] < (n - -(-n * percent // 100) + 1)[doc]
+
+    def postings(docs: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(tokens, kind="stable")
+        return docs[by], np.searchsorted(tokens[by], np.arange(len(often) + 1))
+
+    rare, rare_at = postings(doc[in_prefix], token[in_prefix])
+    every, every_at = postings(doc, token)
+    parent = {int(c): int(c) for c in component}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    links = []
+    for x in range(len(sets)):
+        mine = token[begin[x] : begin[x] + n[x]]
+        heads = mine[in_prefix[begin[x] : begin[x] + n[x]]]
+        heads = heads[rare_at[heads + 1] - rare_at[heads] > 1]
+        if not len(heads):
+            continue
+        met = np.unique(np.concatenate([rare[rare_at[t] : rare_at[t + 1]] for t in heads]))
+        met = met[(met > x) & (100 * n[met] >= percent * n[x]) & (100 * n[x] >= percent * n[met]) & (component[met] != component[x])]
+        if not len(met):
+            continue
+        if len(met) < 8:
+            both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in met])
+        else:
+            both = np.bincount(np.concatenate([every[every_at[t] : every_at[t + 1]] for t in mine]), minlength=len(sets))[met]
+        for y in met[100 * both >= percent * (n[x] + n[met] - both)]:
+            a, b = root(int(component[x])), root(int(component[y]))
+            if a != b:
+                parent[a] = b
+                links.append((int(ids[x]), int(ids[y])))
+    return links
+
+
+def _settle(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+        component = table.column("component").to_numpy()[first]
+        links = []
+        if len(np.unique(component)) > 1:
+            sets = [np.frombuffer(table.column("shingles")[int(i)].as_py(), np.uint64) for i in first]
+            links = confirmed_links(ids, component, sets, percent)
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(*column_bytes(batch.column("text")), size))
-            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            token = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            rest = batch.select(["id", "n", "component"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(token)], names=["id", "n", "component", "token"])
-
-    rows = cut(texts.join(open_, "id").select("id", "text", "n", "component").mapInArrow(shingles, "id long, n long, component long, token long"))
-    often = rows.groupBy("token").agg(F.count("*").alias("often"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    ordered = rows.join(often, "token").groupBy("id", "n", "component").agg(F.sort_array(F.collect_set(F.struct("often", "token", (F.col("c0") < F.col("c1")).alias("open")))).alias("s"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    heads = cut(ordered.select("id", "n", "component", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("t")).where("t.open").select("id", "n", "component", F.col("t.token").alias("token")))
-    other = heads.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("component").alias("other"), "token")
-    near = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)
-    return heads.join(other, "token").where((F.col("id") > F.col("v")) & (F.col("component") != F.col("other")) & near).select(F.col("id").alias("u"), "v").distinct()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(*column_bytes(batch.column(1)), size)], pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _open_links(found: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components that meet in a bucket; ``found``: (key, id, component).
+
+    Small buckets are put together into tasks of some thousand members, large ones are split into blocks, and each pair of blocks is a
+    task. Tasks compare what they hold exactly and emit at most one link for each two components.
+    """
+    open_ = found.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).where("c0 < c1")
+    rows = cut(found.join(open_.select("key", "members"), "key"))
+    bins = max(1, rows.count() // BLOCK)
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    small = rows.where("parts = 1").select("id", "component", F.pmod("key", F.lit(bins)).alias("key"), F.lit(-1).alias("p"), F.lit(-1).alias("q")).distinct()
+    large = rows.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = large.select("id", "component", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    needed = texts.join(rows.select("id").distinct(), "id").dropDuplicates(["id"])
+    sets = needed.select("id", "text").mapInArrow(_shingles(size), "id long, shingles binary")
+    return small.unionByName(large).join(sets, "id").groupBy("key", "p", "q").applyInArrow(_settle(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -130,12 +203,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id are taken as repeats of one document. Exact copies of a set are handled once. Other columns of ``docs`` are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = cut(texts.mapInArrow(_signatures(size), "id long, n long, k1 long, k2 long, sig binary"))
+    sigs = cut(texts.mapInArrow(_signatures(size), "id long, n long, k1 long, k2 long, sig binary, bands binary"))
     live = sigs.where("n > 0 AND id IS NOT NULL")
-    classes = live.groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "sig")).alias("first"))
-    classes = cut(classes.select("n", "k1", "k2", F.col("first.id").alias("id"), F.col("first.sig").alias("sig")))
-    reps = classes.select("id", "n", "sig").dropDuplicates(["id"])
-    keys = [F.xxhash64(F.lit(b), F.expr(f"substring(sig, {4 * ROWS * b + 1}, {4 * ROWS})")) for b in range(BANDS)]
+    classes = live.groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "sig", "bands")).alias("first"))
+    classes = cut(classes.select("n", "k1", "k2", F.col("first.id").alias("id"), F.col("first.sig").alias("sig"), F.col("first.bands").alias("bands")))
+    reps = classes.select("id", "n", "sig", "bands").dropDuplicates(["id"])
+    keys = [F.xxhash64(F.expr(f"substring(bands, {8 * b + 1}, 8)")) for b in range(BANDS)]
     keyed = reps.select("id", F.explode(F.array(*keys)).alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
     met = cut(keyed.join(heads.select("key", "head"), "key"))
@@ -143,9 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_links(stars, reps, texts, size, percent))
     first = components(links)
     found = met.join(first, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-    unsettled = found.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    open_ = cut(found.join(unsettled.select("key"), "key").select("id", "component").distinct().join(reps.select("id", "n"), "id"))
-    more = cut(_links(_prefix_pairs(open_, texts, size, percent), reps, texts, size, percent)) if not open_.isEmpty() else links.limit(0)
+    more = cut(_open_links(found, texts, size, percent))
     copies = live.join(classes.select("n", "k1", "k2", F.col("id").alias("v")), ["n", "k1", "k2"]).select(F.col("id").alias("u"), "v")
     found = components(links.unionByName(more))
     rep = copies.join(found.withColumnRenamed("id", "v"), "v", "left").groupBy("u").agg(F.min(F.coalesce("component", "v")).alias("component"))
