@@ -26,7 +26,7 @@ from .arrays import column_bytes, mix, powers, prefix_sums, row_slices, union_sp
 GRAM = 8
 SLICE = 1 << 20  # bytes hashed at a time
 FLUSH = 400_000  # fragments held by a map task
-BUCKET_BYTES = 16 << 20  # text per bucket
+BUCKET_BYTES = 12 << 20  # text per bucket
 BATCH = 1 << 14  # fragments per suffix array
 _odd = np.random.default_rng(7).integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -244,14 +244,9 @@ def _bucket_spans(blobs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray
     occ_doc, occ_group = doc[frag], group[frag]
     copy = occ_doc > first_doc[occ_group]
     found = [(occ_doc[copy], pos[copy], pos[copy] + length[frag[copy]])]
-    # strings of two fragments can be equal only if the fragments share the anchor
-    gram = _anchor_hashes(m[first], size)
-    by_gram = np.argsort(gram)
-    g = gram[by_gram]
-    alone = np.ones(len(g), bool)
-    alone[1:] &= g[1:] != g[:-1]
-    alone[:-1] &= g[:-1] != g[1:]
-    rest = by_gram[~alone]
+    # strings of two fragments can be equal only if the fragments share the anchor and half of the other bytes on one side of it
+    left, right, has_left, has_right = _sides(m[first], length[first], size)
+    rest = np.flatnonzero(_shared(left, has_left) | _shared(right, has_right))
     rest = rest[np.argsort(first_doc[rest], kind="stable")]
     own = np.flatnonzero(~copy)
     own = own[np.argsort(occ_group[own], kind="stable")]
@@ -275,20 +270,40 @@ def _bucket_spans(blobs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _anchor_hashes(m: np.ndarray, size: int) -> np.ndarray:
-    """The anchor of each fragment's first string, which all its strings share."""
-    up, grams = powers(1)[0], size - GRAM + 1
+def _sides(m: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a fragment's anchor with the bytes before and after it, half a string's rest each, and whether the fragment has these.
 
-    def part(m: np.ndarray) -> np.ndarray:
+    A string has at least half of its other bytes on one side of its anchor.
+    """
+    up, grams, half = powers(1)[0], size - GRAM + 1, -(-(size - GRAM) // 2)
+    odd = np.uint64(0xD6E8FEB86659FD93)
+
+    def part(m: np.ndarray, length: np.ndarray) -> np.ndarray:
         x = m[:, :size].astype(np.uint64) + np.uint64(1)
         value = x[:, :grams] * up[0]
         for k in range(1, GRAM):
             value += x[:, k : k + grams] * up[k]
-        value = mix(value)
-        order = (value & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
-        return value[np.arange(len(m)), order.argmin(axis=1)]
-
-    return _by_parts(part, m)
+        at = ((mix(value) & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)).argmin(axis=1)
+        out = []
+        for start in (at - half, at):
+            near = m[np.arange(len(m))[:, None], np.clip(start[:, None] + np.arange(half + GRAM), 0, m.shape[1] - 1)]
+            h = np.zeros(len(m), np.uint64)
+            for k in range(half + GRAM):
+                h = (h + near[:, k] + np.uint64(1)) * odd
+            out.append(mix(h))
+        return np.stack([*out, at >= half, at + GRAM + half <= length]).astype(np.uint64)
+
+    left, right, has_left, has_right = _by_parts(part, m, length)
+    return left, right, has_left > 0, has_right > 0
+
+
+def _shared(keys: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Which of the valid keys occur twice or more."""
+    at = np.flatnonzero(valid)
+    _, inverse, count = np.unique(keys[at], return_inverse=True, return_counts=True)
+    out = np.zeros(len(keys), bool)
+    out[at] = count[inverse] > 1
+    return out
 
 
 def _scan(size: int):
