@@ -90,13 +90,13 @@ def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Pairs (u, v) with the column of either side."""
     x = table.select(F.col("id").alias("u"), F.col(column).alias("x"))
     y = table.select(F.col("id").alias("v"), F.col(column).alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y")
+    return pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select("u", "v", "x", "y")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     likely = cut(_both(pairs, reps, "sig").mapInArrow(_likely(percent), "u long, v long"))
     ids = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
-    needed = texts.join(ids, "id")
+    needed = texts.join(ids.hint("shuffle_hash"), "id")
     return _both(likely, needed, "text").mapInArrow(_confirmed(size, percent), "u long, v long")
 
 
@@ -188,9 +188,9 @@ def _open_links(found: DataFrame, texts: DataFrame, size: int, percent: int) ->
     small = rows.where("parts = 1").select("id", "component", F.pmod("key", F.lit(bins)).alias("key"), F.lit(-1).alias("p"), F.lit(-1).alias("q")).distinct()
     large = rows.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     large = large.select("id", "component", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    needed = texts.join(rows.select("id").distinct(), "id").dropDuplicates(["id"])
+    needed = texts.join(rows.select("id").distinct().hint("shuffle_hash"), "id").dropDuplicates(["id"])
     sets = needed.select("id", "text").mapInArrow(_shingles(size), "id long, shingles binary")
-    return small.unionByName(large).join(sets, "id").groupBy("key", "p", "q").applyInArrow(_settle(percent), "u long, v long")
+    return small.unionByName(large).join(sets.hint("merge"), "id").groupBy("key", "p", "q").applyInArrow(_settle(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
