@@ -81,7 +81,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col: st
         found = found.join(seeds, ["k", "token"]).select("id", F.greatest(F.lit(0), F.col("pos") - F.col("at")).alias("pos"), "m", "k")
     spots = cut(found.distinct())
     spots = spots.groupBy("id").agg(F.collect_list(F.struct("pos", "m", "k")).alias("spots"))  # bounded by the document's length and the item sizes
-    windows = rows.join(spots, "id").select("id", "h", F.explode("spots").alias("w")).select("id", "w.*", F.slice("h", F.col("w.pos") + 1, F.col("w.m")).alias("h"))
+    windows = rows.join(spots.hint("shuffle_hash"), "id").select("id", "h", F.explode("spots").alias("w")).select("id", "w.*", F.slice("h", F.col("w.pos") + 1, F.col("w.m")).alias("h"))
     windows = windows.withColumn("s", F.when(F.col("k") == SIZE, shingles(F.col("h"), SIZE)).otherwise(F.array(F.xxhash64("h"))))
     windows = cut(windows.select("id", "pos", "m", "k", "s").distinct().withColumn("fp", simhash(F.col("s"))))
     index = items.withColumn("fp", simhash(F.col("s"))).select("item", "m", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"))).alias("x")).select("item", "m", "item_fp", "x.*")
