@@ -22,6 +22,7 @@ from .arrays import column_bytes, row_slices
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 LABELLED = 50_000  # labelled rows used for fitting, chosen by a hash of the id
 TERMS = 4096  # words with evidence
+RATIO = 60  # least ratio of a word's share of toxic rows to its share of others
 LONGEST = 48  # longer tokens (keys, addresses) are no disguised words
 KEPT = 200_000  # restored tokens kept by a task
 _SWAP, _SKIP, _BREAK = 1.0, 0.7, 3.0  # costs of a substituted letter, a dropped repeat and a word border between spaced letters
@@ -143,7 +144,7 @@ def _term_counts(decoder: Decoder):
 
 
 def fit(docs: DataFrame, labels: DataFrame, decoder: Decoder, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, dict[str, float]]:
-    """(bias, evidence of words) from labelled rows outside the held-out fold: words at least five times as frequent in toxic rows, beyond chance."""
+    """(bias, evidence of words) from labelled rows outside the held-out fold: words at least sixty times as frequent in toxic rows, beyond chance (lower ratios mark languages and copied texts rather than toxicity)."""
     id_ = F.col(id_col)
     known = labels.select(id_.cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(LABELLED)
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, decoder: Decoder, id_col: str = "doc
     share_bad, share_good = (F.col("bad") + 0.5) / (bad + 1.0), (F.col("good") + 0.5) / (good + 1.0)
     even = (F.col("bad") + F.col("good") + 1.0) / (bad + good + 2.0)
     chance = 2 * ((F.col("bad") + 0.5) * F.log(share_bad / even) + (F.col("good") + 0.5) * F.log(share_good / even))
-    strong = counts.select("word", F.log(share_bad / share_good).alias("weight"), chance.alias("beyond")).where((F.col("weight") > math.log(5)) & (F.col("beyond") > 30))
+    strong = counts.select("word", F.log(share_bad / share_good).alias("weight"), chance.alias("beyond")).where((F.col("weight") > math.log(RATIO)) & (F.col("beyond") > 30))
     return bias, {r.word: r.weight for r in strong.orderBy(F.desc("beyond"), "word").limit(TERMS).collect()}
 
 
