@@ -25,8 +25,8 @@ from .arrays import column_bytes, mix, powers, prefix_sums, row_slices, union_sp
 
 GRAM = 8
 SLICE = 1 << 20  # bytes hashed at a time
-FLUSH = 400_000  # fragments held by a map task
-BUCKET_BYTES = 12 << 20  # text per bucket
+FLUSH = 250_000  # fragments held by a map task
+BUCKET_BYTES = 8 << 20  # text per bucket
 BATCH = 1 << 14  # fragments per suffix array
 _odd = np.random.default_rng(7).integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
