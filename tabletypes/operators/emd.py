@@ -135,7 +135,7 @@ def lf_numeric_emd(
     different types tie for it. A column with a single value has no deviation and hence no threshold.
     """
     best = nearest_within(unlabeled, labeled, types, factor, candidates, hot_rows)
-    keep = (F.col("n_types") == 1) & (F.col("std").isNull() | (F.col("emd") < F.lit(factor) * F.col("std")))
+    keep = (F.col("n_types") == 1) & (F.col("std").isNull() | (F.round("emd", 9) < F.round(F.lit(factor) * F.col("std"), 9)))
     return best.where(keep).select("dataset_id", "label", "emd")
 
 

@@ -274,7 +274,7 @@ def threshold_sweep(nearest: DataFrame, gold: DataFrame, factors: list[float]) -
 
     ``nearest(dataset_id, label, emd, std, n_types)``.
     """
-    steps = F.array(*[F.struct(F.lit(f).alias("factor"), F.when((F.col("n_types") == 1) & (F.col("std").isNull() | (F.col("emd") < f * F.col("std"))), F.col("label")).alias("pred")) for f in factors])
+    steps = F.array(*[F.struct(F.lit(f).alias("factor"), F.when((F.col("n_types") == 1) & (F.col("std").isNull() | (F.round("emd", 9) < F.round(f * F.col("std"), 9))), F.col("label")).alias("pred")) for f in factors])
     long = nearest.join(gold.select("dataset_id", F.col("semantic_type").alias("truth")), "dataset_id").select("truth", F.inline(steps))
     cover = long.groupBy("factor").agg((F.count("pred") / F.count(F.lit(1))).alias("coverage"))
     report = classification_report(long, False, ("factor",)).where("cls = 'macro avg'").select("factor", F.col("f1").alias("macro_f1"))

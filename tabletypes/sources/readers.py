@@ -140,7 +140,7 @@ def read_plain_tsv_tree(spark: SparkSession, path: str, pattern: str = "*.tsv")
     """Cells of a folder tree of small tab-separated tables whose first line is the header."""
     files = _lines(_whole_files(spark, path, pattern)).where(F.size("lines") > 0)
     heads = F.split(F.col("lines")[0], "\t")
-    rows = files.select("path", heads.alias("heads"), F.posexplode(F.slice("lines", 2, 2_000_000_000)).alias("row_id", "line"))
+    rows = files.select("path", heads.alias("heads"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("row_id", "line"))
     cells = rows.select("path", "heads", "row_id", F.posexplode(F.split("line", "\t")).alias("col_idx", "value"))
     return cells.select(F.col("path").alias("table_id"), "col_idx", F.get("heads", F.col("col_idx")).alias("header"), "row_id", "value")
 
