@@ -9,8 +9,8 @@ _stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
 OP4_SQL = rf"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) AS lines
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) AS lines
   FROM documents),
 g AS (
   SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM t WHERE len(w) >= 5),
@@ -25,7 +25,7 @@ m AS (
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks,
          len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-         len(list_filter(w, x -> lower(x) IN ({_stops}))) AS n_stop_words
+         len(list_filter(w, lambda x: lower(x) IN ({_stops}))) AS n_stop_words
   FROM t LEFT JOIN c USING (doc_id)),
 b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
@@ -36,7 +36,7 @@ b AS (
            CASE WHEN n_words > 0 AND n_marks > 0.3::DOUBLE * n_words THEN 'exclamations' END,
            CASE WHEN n_words > 0 AND n_stop_words < 0.02::DOUBLE * n_words THEN 'stop_words' END,
            CASE WHEN n_lines > 0 AND n_dup_lines > 0.3::DOUBLE * n_lines THEN 'repeated_lines' END,
-           CASE WHEN n_words > 0 AND n_repeat_words > 0.2::DOUBLE * n_words THEN 'repeated_words' END], x -> x IS NOT NULL), ',') AS broken_rules
+           CASE WHEN n_words > 0 AND n_repeat_words > 0.2::DOUBLE * n_words THEN 'repeated_words' END], lambda x: x IS NOT NULL), ',') AS broken_rules
   FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND broken_rules = '' AS kept, broken_rules
