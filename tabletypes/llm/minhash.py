@@ -8,7 +8,8 @@ compared in blocks through the rarest shingles of their whole sets. No pairs but
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,11 @@ def _signatures(size: int):
     return run
 
 
-def _likely(percent: int):
+Sets = Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]  # offsets and bytes of texts to their sorted distinct shingles
+
+
+def likely(percent: int, total: int = BANDS * ROWS):
     """Pairs whose signatures (a byte of each minimum) agree often enough; five and a half standard deviations below the threshold stay."""
-    total = BANDS * ROWS
     p = percent / 100
     least = total * p - 5.5 * math.sqrt(total * p * (1 - p))
 
@@ -71,12 +74,12 @@ def _likely(percent: int):
     return run
 
 
-def _confirmed(size: int, percent: int):
+def confirmed(sets_of: Sets, percent: int):
     """Pairs whose whole sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = zip(*(shingle_sets(*column_bytes(batch.column(i)), size) for i in (2, 3)), strict=True)
+            sets = zip(*(sets_of(*column_bytes(batch.column(i))) for i in (2, 3)), strict=True)
             keep = []
             for x, y in sets:
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -86,18 +89,18 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+def both_sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Pairs (u, v) with the column of either side."""
     x = table.select(F.col("id").alias("u"), F.col(column).alias("x"))
     y = table.select(F.col("id").alias("v"), F.col(column).alias("y"))
     return pairs.join(x.hint("merge"), "u").join(y.hint("merge"), "v").select("u", "v", "x", "y")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    likely = cut(_both(pairs, reps, "sig").mapInArrow(_likely(percent), "u long, v long"))
-    ids = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
+def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
+    close = cut(both_sides(pairs, reps, "sig").mapInArrow(likely(percent), "u long, v long"))
+    ids = close.select(F.col("u").alias("id")).unionByName(close.select(F.col("v").alias("id"))).distinct()
     needed = texts.join(ids.hint("shuffle_hash"), "id")
-    return _both(likely, needed, "text").mapInArrow(_confirmed(size, percent), "u long, v long")
+    return both_sides(close, needed, "text").mapInArrow(confirmed(sets_of, percent), "u long, v long")
 
 
 def confirmed_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -153,28 +156,20 @@ def confirmed_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarra
     return links
 
 
-def _settle(percent: int):
+def _settle(sets_of: Sets, percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
         component = table.column("component").to_numpy()[first]
         links = []
         if len(np.unique(component)) > 1:
-            sets = [np.frombuffer(table.column("shingles")[int(i)].as_py(), np.uint64) for i in first]
+            sets = list(sets_of(*column_bytes(table.column("text").take(pa.array(first)))))
             links = confirmed_links(ids, component, sets, percent)
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
-def _shingles(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(*column_bytes(batch.column(1)), size)], pa.binary())], names=["id", "shingles"])
-
-    return run
-
-
-def _open_links(found: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def open_links(found: DataFrame, texts: DataFrame, sets_of: Sets, percent: int, block: int = BLOCK) -> DataFrame:
     """Links between components that meet in a bucket; ``found``: (key, id, component).
 
     Small buckets are put together into tasks of some thousand members, large ones are split into blocks, and each pair of blocks is a
@@ -182,15 +177,14 @@ def _open_links(found: DataFrame, texts: DataFrame, size: int, percent: int) ->
     """
     open_ = found.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).where("c0 < c1")
     rows = cut(found.join(open_.select("key", "members"), "key"))
-    bins = max(1, rows.count() // BLOCK)
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    bins = max(1, rows.count() // block)
+    parts = F.ceil(F.col("members") / block).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     small = rows.where("parts = 1").select("id", "component", F.pmod("key", F.lit(bins)).alias("key"), F.lit(-1).alias("p"), F.lit(-1).alias("q")).distinct()
     large = rows.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     large = large.select("id", "component", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    needed = texts.join(rows.select("id").distinct().hint("shuffle_hash"), "id").dropDuplicates(["id"])
-    sets = needed.select("id", "text").mapInArrow(_shingles(size), "id long, shingles binary")
-    return small.unionByName(large).join(sets.hint("merge"), "id").groupBy("key", "p", "q").applyInArrow(_settle(percent), "u long, v long")
+    needed = texts.join(rows.select("id").distinct().hint("shuffle_hash"), "id").dropDuplicates(["id"]).select("id", "text")
+    return small.unionByName(large).join(needed.hint("merge"), "id").groupBy("key", "p", "q").applyInArrow(_settle(sets_of, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -202,6 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty or blank texts have an empty set and are linked with nothing; a row without an id is its own component (null) and kept.
     Rows that share an id are taken as repeats of one document. Exact copies of a set are handled once. Other columns of ``docs`` are not read.
     """
+    sets_of = partial(shingle_sets, size=size)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sigs = cut(texts.mapInArrow(_signatures(size), "id long, n long, k1 long, k2 long, sig binary, bands binary"))
     live = sigs.where("n > 0 AND id IS NOT NULL")
@@ -213,10 +208,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
     met = cut(keyed.join(heads.select("key", "head"), "key"))
     stars = met.where("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    links = cut(_links(stars, reps, texts, size, percent))
+    links = cut(_links(stars, reps, texts, sets_of, percent))
     first = components(links)
     found = met.join(first, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-    more = cut(_open_links(found, texts, size, percent))
+    more = cut(open_links(found, texts, sets_of, percent))
     copies = live.join(classes.select("n", "k1", "k2", F.col("id").alias("v")), ["n", "k1", "k2"]).select(F.col("id").alias("u"), "v")
     found = components(links.unionByName(more))
     rep = copies.join(found.withColumnRenamed("id", "v"), "v", "left").groupBy("u").agg(F.min(F.coalesce("component", "v")).alias("component"))
