@@ -1,8 +1,9 @@
 """Running totals and ranks over groups of any size.
 
-A window partitioned by a key puts the whole key into one task. Where one key may hold a large share
+A window partitioned by a key puts the whole key into one task. Where a key may hold a large share
 of the rows, ``running`` splits such keys into ordered blocks, accumulates inside the blocks and adds
-the total of the blocks before. Keys of ordinary size keep the plain window.
+the total of the blocks before. Keys of ordinary size keep the plain window. The number of split keys
+and of blocks has no limit: the large keys are a table, and the blocks come from a range partitioning.
 """
 
 from __future__ import annotations
@@ -12,51 +13,37 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabletypes.plans.session import cut
+
 HOT_ROWS = 1_000_000
-MAX_BLOCKS = 256
-SAMPLES_PER_BLOCK = 64
 
 _BLOCK = "__block"
-_HOT = "__hot"
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list:
-    """The groups with more than ``hot_rows`` rows, largest first, at most MAX_BLOCKS of them.
+def split_hot(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys with more than ``hot_rows`` rows with their block number).
 
-    A group left out by that bound is smaller than 1/256 of the rows, so one task can sort it.
+    The second is None without such keys. Blocks follow the order and hold half of ``hot_rows`` on average, as their
+    borders are sampled. They are written, so that every use sees the same borders.
     """
+    if not keys:
+        rows = df.count()
+        if rows <= hot_rows:
+            return df, None
+        return df.limit(0), _blocks(df, order, rows, hot_rows)
+    names = [f"__key{i}" for i in range(len(keys))]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    return sizes.orderBy(F.desc("__n")).limit(MAX_BLOCKS).collect()
-
+    hot = cut(sizes.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "__n"))
+    rows = hot.agg(F.sum("__n")).first()[0]
+    if not rows:
+        return df, None
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    large = df.join(hot.drop("__n"), same, "left_semi")
+    return df.join(hot.drop("__n"), same, "left_anti"), _blocks(large, [*keys, *order], rows, hot_rows)
 
-def with_blocks(df: DataFrame, keys: list[str], order: list[str], hot: list, hot_rows: int) -> DataFrame:
-    """Add the block number of every row; equal order values share a block, blocks follow the order.
 
-    Splitters come from a hash sample, so every evaluation of the plan yields the same blocks. Their
-    number is bounded by MAX_BLOCKS groups times MAX_BLOCKS splitters, which makes the broadcast safe.
-    """
-    spark = df.sparkSession
-    plan = [
-        tuple(row[k] for k in keys) + (max(1, row["__n"] // (min(MAX_BLOCKS, ceil(row["__n"] / hot_rows)) * SAMPLES_PER_BLOCK)),)
-        for row in hot
-    ]
-    fields = [df.schema[k] for k in keys]
-    schema = "struct<" + ",".join([f"`{f.name}`:{f.dataType.simpleString()}" for f in fields] + ["`__rate`:bigint"]) + ">"
-    rates = F.broadcast(spark.createDataFrame(plan, schema))
-    point = F.struct(*[F.col(c) for c in order])
-    tagged = df.join(rates, keys, "inner") if keys else df.crossJoin(rates)
-    sample = tagged.where(F.pmod(F.xxhash64(*keys, *order), F.col("__rate")) == 0)
-    splitters = sample.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("__s")).select(
-        *keys,
-        F.expr(f"filter(__s, (x, i) -> (i + 1) % {SAMPLES_PER_BLOCK} = 0)").alias("__s"),
-    )
-    joined = df.join(F.broadcast(splitters), keys, "left") if keys else df.crossJoin(F.broadcast(splitters))
-    return joined.withColumns(
-        {
-            _HOT: F.col("__s").isNotNull(),
-            _BLOCK: F.coalesce(F.size(F.filter("__s", lambda s: s < point)), F.lit(0)),
-        }
-    ).drop("__s")
+def _blocks(df: DataFrame, order: list[str], rows: int, hot_rows: int) -> DataFrame:
+    return cut(df.repartitionByRange(ceil(2 * rows / hot_rows), *order).withColumn(_BLOCK, F.spark_partition_id()))
 
 
 def running(
@@ -74,41 +61,44 @@ def running(
     rows a key can have at most passes it as ``largest`` and saves counting them.
     """
     following = following or {}
-    hot = [] if largest is not None and largest <= hot_rows else hot_groups(df, keys, hot_rows)
-    if not hot:
-        w = Window.partitionBy(*keys).orderBy(*order)
+
+    def inside(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns(
+        return rows.withColumns(
             {**{k: F.sum(v).over(upto) for k, v in sums.items()}, **{k: F.lead(v).over(w) for k, v in following.items()}}
         )
-    blocked = with_blocks(df, keys, order, hot, hot_rows)
-    w = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = blocked.withColumns(
-        {**{k: F.sum(v).over(upto) for k, v in sums.items()}, **{k: F.lead(v).over(w) for k, v in following.items()}}
-    )
+
+    if largest is not None and largest <= hot_rows:
+        return inside(df, keys)
+    cold, hot = split_hot(df, keys, order, hot_rows)
+    if hot is None:
+        return inside(cold, keys)
     point = F.struct(*[F.col(c) for c in order])
-    per_block = blocked.where(_HOT).groupBy(*keys, _BLOCK).agg(
+    names = [f"__key{i}" for i in range(len(keys))]
+    per_block = hot.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], _BLOCK).agg(
         *[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()],
         *[F.min_by(v, point).alias(f"__f_{k}") for k, v in following.items()],
         F.count(F.lit(1)).alias("__rows"),
     )
-    along = Window.partitionBy(*keys).orderBy(_BLOCK)
+    along = Window.partitionBy(*names).orderBy(_BLOCK)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        *keys,
-        _BLOCK,
+        *names,
+        F.col(_BLOCK).alias("__at"),
         *[F.sum(f"__t_{k}").over(before).alias(f"__o_{k}") for k in sums],
         *[F.lead(f"__f_{k}").over(along).alias(f"__x_{k}") for k in following],
     )
-    out = local.join(F.broadcast(offsets), [*keys, _BLOCK], "left")
+    same = [F.col(_BLOCK) == F.col("__at"), *[F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]]
+    out = inside(hot, [*keys, _BLOCK]).join(offsets, same, "left")
     out = out.withColumns(
         {
             **{k: F.when(F.col(f"__o_{k}").isNull(), F.col(k)).otherwise(F.col(k) + F.col(f"__o_{k}")) for k in sums},
             **{k: F.coalesce(F.col(k), F.col(f"__x_{k}")) for k in following},
         }
     )
-    return out.drop(_BLOCK, _HOT, *[f"__o_{k}" for k in sums], *[f"__x_{k}" for k in following])
+    out = out.drop(_BLOCK, "__at", *names, *[f"__o_{k}" for k in sums], *[f"__x_{k}" for k in following])
+    return inside(cold, keys).unionByName(out)
 
 
 def position(df: DataFrame, keys: list[str], order: list[str], out: str = "pos", hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabletypes.plans.ordered import position, running, top, weighted_quantiles
+from tabletypes.plans.ordered import position, running, split_hot, top, weighted_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +50,14 @@ def test_quantiles_match_numpy(skewed):
 def test_top_keeps_the_first_rows(skewed):
     rows = top(skewed, ["g"], [F.desc("x")], 2).where("g = 'k3'").orderBy("rank").collect()
     assert [r.x for r in rows] == [15.0, 12.0]
+
+
+@pytest.mark.parametrize("groups", [1, 300])
+def test_any_number_of_groups_and_blocks(spark, groups):
+    rows = spark.range(60_000).select((F.col("id") % groups).cast("string").alias("g"), F.col("id").alias("x")).withColumn("g", F.when(F.col("g") != "0", F.col("g")))
+    cold, hot = split_hot(rows, ["g"], ["x"], hot_rows=150)
+    assert cold.count() == 0
+    sizes = hot.groupBy("g", "__block").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 300 and sizes[1] >= max(groups, 400)
+    out = position(rows, ["g"], ["x"], "p", hot_rows=150)
+    assert out.where(F.col("p") != F.floor(F.col("x") / groups) + 1).count() == 0 and out.count() == 60_000
