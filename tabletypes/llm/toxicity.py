@@ -22,6 +22,7 @@ from .arrays import column_bytes, row_slices
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 LABELLED = 50_000  # labelled rows used for fitting, chosen by a hash of the id
 TERMS = 4096  # words with evidence
+CALIBRATION = 5  # one labelled row of so many also sets the scale of the scores
 RATIO = 60  # least ratio of a word's share of toxic rows to its share of others
 LONGEST = 48  # longer tokens (keys, addresses) are no disguised words
 KEPT = 200_000  # restored tokens kept by a task
@@ -143,32 +144,81 @@ def _term_counts(decoder: Decoder):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, decoder: Decoder, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, dict[str, float]]:
-    """(bias, evidence of words) from labelled rows outside the held-out fold: words at least sixty times as frequent in toxic rows, beyond chance (lower ratios mark languages and copied texts rather than toxicity)."""
+def _evidence(decoder: Decoder, weights: dict[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [round(evidence(decoder, weights, text), 2) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), batch.column(1)], names=["evidence", "toxic"])
+
+    return run
+
+
+def evidence(decoder: Decoder, weights: dict[str, float], text: str | None) -> float:
+    """The sum of the weights of a text's distinct words."""
+    return sum(sorted(weights[w] for w in decoder.features(text or "") & weights.keys()))
+
+
+def calibrated(bias: float, x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(bias, scale) of the logistic curve over evidence ``x`` seen ``n`` times with label ``toxic``; few rows leave it near (bias, 1).
+
+    Newton steps on the log loss with a unit Gaussian prior around (bias, 1).
+    """
+    prior = now = np.array([bias, 1.0])
+    basis = np.stack([np.ones(len(x)), x], axis=1)
+
+    def loss(at: np.ndarray) -> float:
+        z = basis @ at
+        return float((n * (np.logaddexp(0, z) - toxic * z)).sum() + ((at - prior) ** 2).sum() / 2)
+
+    for _ in range(50):
+        share = 1 / (1 + np.exp(-np.clip(basis @ now, -500, 500)))
+        slope = basis.T @ (n * (share - toxic)) + now - prior
+        bend = (basis * (n * share * (1 - share))[:, None]).T @ basis + np.eye(2)
+        step, part = np.linalg.solve(bend, slope), 1.0
+        while part > 1e-6 and loss(now - part * step) > loss(now):
+            part /= 2
+        now = now - part * step
+        if np.abs(part * step).max() < 1e-9:
+            break
+    return (float(now[0]), float(now[1])) if now[1] > 0 else (bias, 1.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, decoder: Decoder, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, float, dict[str, float]]:
+    """(bias, scale, evidence of words) from labelled rows outside the held-out fold.
+
+    Words count that are at least sixty times as frequent in toxic rows, beyond chance (lower ratios mark languages and copied texts rather than
+    toxicity). A fifth of the rows, chosen by their ids, then sets bias and scale: a lone word met by chance is no proof. A word with evidence
+    stands in several rows, so it hardly matters that these rows are among those that the words come from.
+    """
     id_ = F.col(id_col)
     known = labels.select(id_.cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(LABELLED)
-    rows = docs.select(id_.cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "toxic")  # bounded by LABELLED
-    totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
+    known = known.withColumn("sets_scale", F.pmod(F.xxhash64(F.lit("scale"), "id"), F.lit(CALIBRATION)) == 0)
+    rows = docs.select(id_.cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "toxic", "sets_scale")  # bounded by LABELLED
+    numbers = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bad, good = numbers.get(1, 0), numbers.get(0, 0)
     bias = math.log((bad + 0.5) / (good + 0.5))
     if not bad or not good:
-        return bias, {}
-    counts = rows.mapInArrow(_term_counts(decoder), "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        return bias, 1.0, {}
+    counts = rows.select("text", "toxic").mapInArrow(_term_counts(decoder), "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share_bad, share_good = (F.col("bad") + 0.5) / (bad + 1.0), (F.col("good") + 0.5) / (good + 1.0)
     even = (F.col("bad") + F.col("good") + 1.0) / (bad + good + 2.0)
     chance = 2 * ((F.col("bad") + 0.5) * F.log(share_bad / even) + (F.col("good") + 0.5) * F.log(share_good / even))
     strong = counts.select("word", F.log(share_bad / share_good).alias("weight"), chance.alias("beyond")).where((F.col("weight") > math.log(RATIO)) & (F.col("beyond") > 30))
-    return bias, {r.word: r.weight for r in strong.orderBy(F.desc("beyond"), "word").limit(TERMS).collect()}
+    weights = {r.word: r.weight for r in strong.orderBy(F.desc("beyond"), "word").limit(TERMS).collect()}
+    seen = rows.where("sets_scale").select("text", "toxic").mapInArrow(_evidence(decoder, weights), "evidence double, toxic int")
+    seen = seen.groupBy("evidence", "toxic").agg(F.count("*").alias("n")).orderBy("evidence", "toxic").collect()  # bounded by LABELLED
+    x, toxic, n = (np.array([float(r[i]) for r in seen]) for i in range(3))
+    return *calibrated(bias, x, toxic, n), weights
 
 
 def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Callable[[str | None], float]:
     """The score of a text, from counts over all of ``docs`` and the labelled rows."""
     decoder = Decoder(character_counts(docs, text_col))
-    bias, weights = fit(docs, labels, decoder, id_col, text_col)
+    bias, scale, weights = fit(docs, labels, decoder, id_col, text_col)
 
     def score(text: str | None) -> float:
-        total = bias + sum(sorted(weights[w] for w in decoder.features(text or "") & weights.keys()))
+        total = bias + scale * evidence(decoder, weights, text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
     return score

@@ -192,6 +192,21 @@ def test_fenwick_chains_are_the_best_ones():
         assert sum(best[i] == max(best) for i in range(len(points))) > 1 or (chains[0][1] - passages.K, chains[0][3] - passages.K) == top
 
 
+def test_toxicity_scale_minimises_the_penalised_loss():
+    x, toxic, n = np.array([0.0, 0.0, 4.3, 4.3, 9.0, 14.0]), np.array([0.0, 1.0, 0.0, 1.0, 1.0, 1.0]), np.array([900.0, 1.0, 40.0, 3.0, 60.0, 40.0])
+    bias, scale = toxicity.calibrated(-2.0, x, toxic, n)
+
+    def loss(b, s):
+        z = b + s * x
+        return (n * (np.log1p(np.exp(z)) - toxic * z)).sum() + ((b + 2) ** 2 + (s - 1) ** 2) / 2
+
+    around = [loss(bias + i, scale + j) for i in np.linspace(-1, 1, 21) for j in np.linspace(-0.3, 0.3, 21)]
+    assert loss(bias, scale) <= min(around) + 1e-9
+    assert bias + scale * 4.3 < 0 < bias + scale * 9.0  # one word met by chance is no proof, several are
+    assert toxicity.calibrated(-2.0, np.zeros(0), np.zeros(0), np.zeros(0)) == (-2.0, 1.0)
+    assert toxicity.calibrated(-2.0, np.array([0.0, 9.0]), np.array([1.0, 0.0]), np.array([500.0, 500.0])) == (-2.0, 1.0)  # never turned around
+
+
 def test_toxicity_restores_disguised_words(spark):
     rnd = random.Random(9)
     syllables = ["ka", "lo", "mi", "ne", "ru", "ta", "so", "pe"]
