@@ -50,6 +50,19 @@ def f3(spark, sf):
     return rendered_dates(spark, sf).select("o_orderkey", F.date_format(S.parse_date("v"), "yyyy-MM-dd").alias("parsed"))
 
 
+# every minute of the day, by turns with a zone name, with an offset, without the zone that bare minutes need, and with seconds and a zone name
+@query(
+    "f3_parse_clock",
+    "WITH m AS (SELECT o_orderkey, o_orderdate::TIMESTAMP + to_minutes((o_orderkey % 1440)::BIGINT) AS t FROM orders) SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN strftime(t - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M') "
+    "WHEN 2 THEN NULL ELSE strftime(t, '%Y-%m-%d %H:%M') END AS parsed FROM m",
+)
+def f3_clock(spark, sf):
+    o = X.base(spark, sf, "orders")
+    k, t = F.col("o_orderkey") % 4, F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    text = F.when(k == 0, F.date_format(t, "dd/MM/yyyy HH:mm'UTC'")).when(k == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+01:30'")).when(k == 2, F.date_format(t, "yyyy-MM-dd HH:mm")).otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss'GMT'"))
+    return o.select("o_orderkey", F.date_format(S.parse_date(text), "yyyy-MM-dd HH:mm").alias("parsed"))
+
+
 @query("f4_in_dictionary", "SELECT c_custkey, lower(c_mktsegment) IN ('automobile', 'furniture') AS hit FROM customer")
 def f4(spark, sf):
     return X.base(spark, sf, "customer").select("c_custkey", S.in_dictionary("c_mktsegment", ["Automobile", "Furniture"]).alias("hit"))

@@ -62,7 +62,13 @@ def s3(spark, sf):
     return R.names_from_ddl(spark, put_lines(s.select(text.alias("line")), "line", folder(spark, "ddl")))
 
 
-@query("s4_corpus_schemas")
+@query(
+    "s4_corpus_schemas",
+    "SELECT table_name || '.parquet' AS file, (ordinal_position - min(ordinal_position) OVER (PARTITION BY table_name))::INTEGER AS col_idx, column_name AS name, "
+    "CASE data_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' "
+    "WHEN 'DATE' THEN 'date32[day]' WHEN 'TIMESTAMP' THEN 'timestamp[us]' WHEN 'TIMESTAMP_NS' THEN 'timestamp[ns]' WHEN 'FLOAT[]' THEN 'list<element: float>' ELSE lower(data_type) END AS type FROM information_schema.columns "
+    "WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')",
+)
 def s4_schemas(spark, sf):
     return R.corpus_schemas(spark, sf).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "col_idx", "name", "type")
 
@@ -75,9 +81,7 @@ def s4(spark, sf):
     path = folder(spark, "corpus")
     for t in ("nation", "region", "supplier"):
         X.base(spark, sf, t).write.parquet(f"{path}/{t}.parquet")
-    df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
-    named = df.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.parquet/[^/]+$", 1).alias("table_id"), "n_name")
-    return named.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.count("n_name").alias("with_name"))
+    return R.read_parquet_corpus(spark, path).groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.count("n_name").alias("with_name"))
 
 
 # one web table per order, some without a header in the first row

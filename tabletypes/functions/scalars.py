@@ -55,11 +55,14 @@ def parse_date(value) -> Column:
     """Timestamp of a cell in day-first, then month-first order, with one separator of ``- . / blank``.
 
     Years may lead (``1999-12-31``) or trail with two or four digits; months may be names; a clock time
-    may follow after a blank, a ``T`` or nothing.
+    may follow after a blank, a ``T`` or nothing: hours, minutes and seconds, or hours and minutes with a zone.
+    Zones are UTC, GMT, Z or an offset, by which the time is moved to UTC.
     """
     v = F.trim(_col(value))
-    form = r"^(\w+)([-./ ])(\w+)\2(\d{1,4}?)(?:[T ]?(\d{2}:\d{2}:\d{2})(?:Z|[A-Z]{3}|[+-]\d{2}:?\d{2})?)?$"
-    a, b, c, clock = (F.regexp_extract(v, form, i) for i in (1, 3, 4, 5))
+    form = r"^(\w+)([-./ ])(\w+)\2(\d{1,4}?)(?:[T ]?(\d{2}:\d{2}(?::\d{2}|(?=[A-Za-z+-])))((?i:UTC|GMT|Z)|([+-])(\d{2}):?(\d{2}))?)?$"
+    a, b, c, clock, sign, hours, minutes = (F.regexp_extract(v, form, i) for i in (1, 3, 4, 5, 7, 8, 9))
+    clock = F.when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock)
+    ahead = F.when(sign != "", F.when(sign == "-", -1).otherwise(1) * (hours.try_cast("int") * 60 + minutes.try_cast("int"))).otherwise(0)
     year = F.when(F.length(c) == 4, c).when(
         F.length(c) == 2, F.concat(F.when(c >= "69", F.lit("19")).otherwise(F.lit("20")), c)
     )
@@ -74,7 +77,8 @@ def parse_date(value) -> Column:
         return F.try_to_timestamp(text, F.lit("yyyy-M-d HH:mm:ss"))
 
     year_first = F.when(F.length(a) == 4, stamp(a, b, c))
-    return F.coalesce(year_first, stamp(year, month(b), a), stamp(year, month(a), b))
+    local = F.coalesce(year_first, stamp(year, month(b), a), stamp(year, month(a), b))
+    return local - F.make_dt_interval(mins=ahead)
 
 
 def storage_votes(value) -> dict[str, Column]:

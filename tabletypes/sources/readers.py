@@ -26,10 +26,14 @@ CHART_DATA = "map<string,struct<cols:map<string,struct<order:int,data:array<stri
 def read_delimited(
     spark: SparkSession, path: str, names: list[str], sep: str = "|", usecols: list[int] | None = None, frac: float | None = None, seed: int = 0
 ) -> DataFrame:
-    """Headerless delimited text as strings. Lines with too many fields are skipped, short ones are filled with
-    nulls; only the columns at the ordinals ``usecols`` are parsed out."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__extra"]])
-    df = spark.read.csv(path, schema=schema, sep=sep).where(F.col("__extra").isNull())
+    """Headerless delimited text as strings. Lines with too many fields are skipped (also if the fields in excess are empty),
+    short ones are filled with nulls; only the columns at the ordinals ``usecols`` are parsed out. Separators in quoted fields
+    do not count, blank lines are skipped."""
+    mark = re.escape(sep)
+    bare = F.regexp_replace("value", rf'(?:^|(?<={mark}))"(?:[^"\\]|\\.)*"', "")
+    lines = spark.read.text(path).where((F.trim("value") != "") & (F.size(F.split(bare, mark)) <= len(names)))
+    schema = ", ".join(f"`{n}` string" for n in names)
+    df = lines.select(F.from_csv("value", schema, {"sep": sep}).alias("line")).select("line.*")
     df = df.select(*[f"`{names[i]}`" for i in (usecols if usecols is not None else range(len(names)))])
     return df.sample(False, frac, seed) if frac is not None else df
 
@@ -69,10 +73,17 @@ def names_from_ddl(spark: SparkSession, path: str) -> DataFrame:
     return cols.select("table_id", "col_idx", name.alias("name"), F.regexp_extract("c", form, 4).alias("type"))
 
 
-def read_parquet_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """All parquet tables below a folder with their file as ``table_id``; columns a table lacks are null."""
+def read_parquet_corpus(spark: SparkSession, path: str, up: int | None = None) -> DataFrame:
+    """All parquet tables below a folder with their name as ``table_id``; columns a table lacks are null.
+
+    The name is the first file or folder of the path that ends in ``.parquet``, so the part files of a table are one table;
+    with ``up`` it is the folder so many levels above the file (0: the file itself).
+    """
     df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
-    return df.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.parquet$", 1).alias("table_id"), "*")
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)\.parquet(?:/|$)", 1)
+    if up is not None:
+        name = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1 - up), r"\.parquet$", "")
+    return df.select(name.alias("table_id"), "*")
 
 
 def corpus_schemas(spark: SparkSession, path: str) -> DataFrame:
