@@ -179,6 +179,14 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert got[5, 2].equal_words == 70 and got[8, 2].equal_words == 67 and got[12, 0].end_word == 300
 
 
+def test_every_passage_that_two_documents_share_is_reported(spark):
+    rnd = random.Random(21)
+    one, two = prose(rnd, 60, 10**6), prose(rnd, 60, 10**6)
+    texts = [f"{prose(rnd, 40, 10**6)} {one} {prose(rnd, 300, 10**6)} {two} {prose(rnd, 40, 10**6)}" for _ in range(2)]
+    got = sorted((r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.source_start, r.source_end, r.equal_words) for r in passages.passages(frame(spark, texts)).collect())
+    assert got == [(1, 0, 40, 100, 40, 100, 60), (1, 0, 400, 460, 400, 460, 60)]
+
+
 def test_fenwick_chains_are_the_best_ones():
     rnd = random.Random(6)
     for _ in range(30):
