@@ -20,6 +20,7 @@ from .arrays import column_bytes, row_slices
 
 # Letters that a digit or symbol is used for.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
+READ = frozenset(READINGS)
 LABELLED = 50_000  # labelled rows used for fitting, chosen by a hash of the id
 TERMS = 4096  # words with evidence
 CALIBRATION = 5  # one labelled row of so many also sets the scale of the scores
@@ -121,6 +122,10 @@ class Decoder:
                     out.update(self.words(core))
                     if core != token:
                         out.update(self.words(token))
+            if len(token) <= LONGEST:  # signs at an edge are letters or punctuation
+                for part in {token, token.strip("!"), token.lstrip(EDGES), token.rstrip(EDGES), core}:
+                    if not READ.isdisjoint(part):
+                        out.update(self.words(part))
         for m in SPACED.finditer(text):
             if len(m[0]) >= 5:
                 out.update(self.words(m[0][: 4 * LONGEST], spaced=True))

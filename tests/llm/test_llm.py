@@ -215,6 +215,23 @@ def test_toxicity_scale_minimises_the_penalised_loss():
     assert toxicity.calibrated(-2.0, np.array([0.0, 9.0]), np.array([1.0, 0.0]), np.array([500.0, 500.0])) == (-2.0, 1.0)  # never turned around
 
 
+def decoder():
+    """A decoder under the character model of a few English words."""
+    counts = np.zeros((27, 27, 27))
+    for w in "you are such a stupid idiot and a loser or an ass who said so it is not the last one of those that pass".split() * 50:
+        c = [0, 0, *(ord(x) - 96 for x in w), 0]
+        for x in zip(c, c[1:], c[2:], strict=False):
+            counts[x] += 1
+    return toxicity.Decoder(counts)
+
+
+def test_signs_at_the_edges_of_words_are_read_as_letters():
+    d = decoder()
+    for text, word in (("$tupid", "stupid"), ("!diot", "idiot"), ("a$$", "ass"), ("a$$!!", "ass"), ("$tupid!", "stupid"), ("lo$er$!", "losers"), ("455", "ass"), ("@$$", "ass"), ("'!diot'", "idiot")):
+        assert word in d.features(f"well, {text} there"), text
+    assert "stupid" in d.features("stupid!")
+
+
 def test_toxicity_restores_disguised_words(spark):
     rnd = random.Random(9)
     syllables = ["ka", "lo", "mi", "ne", "ru", "ta", "so", "pe"]
