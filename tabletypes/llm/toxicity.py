@@ -25,13 +25,13 @@ LABELLED = 50_000  # labelled rows used for fitting, chosen by a hash of the id
 TERMS = 4096  # words with evidence
 CALIBRATION = 5  # one labelled row of so many also sets the scale of the scores
 RATIO = 60  # least ratio of a word's share of toxic rows to its share of others
-LONGEST = 48  # longer tokens (keys, addresses) are no disguised words
+LONGEST = 48  # longer tokens are restored anew each time
 KEPT = 200_000  # restored tokens kept by a task
 _SWAP, _SKIP, _BREAK = 1.0, 0.7, 3.0  # costs of a substituted letter, a dropped repeat and a word border between spaced letters
 
 TOKEN = re.compile(r"[^\s.,;:?\"()\[\]{}]+")
 LETTERS = re.compile(r"[^\W\d_]+")
-DRAWN = re.compile(r"([^\W\d_])\1\1")
+DRAWN = re.compile(r"([^\W\d_])\1\1+")
 SPACED = re.compile(r"(?<!\S)[^\W_](?:(?: {1,3}|[.\-_*])[^\W_]|(?: {1,3}|[.\-_*])[@$!|+])+(?![^\s.,;:!?])")
 EDGES = "*#%&$!|+-_'\"~<>="
 
@@ -61,6 +61,15 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return counts.reshape(27, 27, 27)
 
 
+def _spelled(letters: tuple) -> str:
+    """The text of letters linked from the last to the first."""
+    out = []
+    while letters:
+        letters, x = letters
+        out.append(x)
+    return "".join(reversed(out))
+
+
 class Decoder:
     """Restores disguised words under a character model."""
 
@@ -72,6 +81,9 @@ class Decoder:
 
     def words(self, token: str, spaced: bool = False) -> tuple[str, ...]:
         """The words of the best reading; ``spaced``: letters set apart, so word borders are open."""
+        token = DRAWN.sub(r"\1\1", token)  # no word has a letter three times in a row
+        if len(token) > LONGEST:
+            return tuple(LETTERS.findall(self._decode(token, spaced)))
         key = (token, spaced)
         out = self.known.get(key)
         if out is None:
@@ -81,14 +93,14 @@ class Decoder:
         return out
 
     def _decode(self, token: str, spaced: bool) -> str:
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # of each state its cost and its letters, last first, as linked pairs
         cost, before = self.cost, ""
         for c in token:
             if spaced and c in " .-_*":
                 continue
             letter = "a" <= c <= "z"
             options = [(c, 0.0)] if letter else [(x, _SWAP) for x in READINGS.get(c, "")] or [(c, 0.0)]
-            found: dict[tuple[int, int], tuple[float, str]] = {}
+            found: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (so_far, text) in best.items():
                 if letter and c == before:
                     x = so_far + _SKIP
@@ -96,14 +108,17 @@ class Decoder:
                         found[a, b] = (x, text)
                 for x, extra in options:
                     k = ord(x) - 96 if "a" <= x <= "z" else 0
-                    paths = [(so_far + extra + cost[a][b][k], (b, k), text + x)]
+                    total = so_far + extra + cost[a][b][k]
+                    if (b, k) not in found or total < found[b, k][0]:
+                        found[b, k] = (total, (text, x))
                     if spaced and b:
-                        paths.append((so_far + extra + _BREAK + cost[a][b][0] + cost[b][0][k], (0, k), text + " " + x))
-                    for total, state, out in paths:
-                        if state not in found or total < found[state][0]:
-                            found[state] = (total, out)
+                        total = so_far + extra + _BREAK + cost[a][b][0] + cost[b][0][k]
+                        if (0, k) not in found or total < found[0, k][0]:
+                            found[0, k] = (total, (text, " " + x))
             best, before = found, c
-        return min((total + cost[a][b][0], text) for (a, b), (total, text) in best.items())[1]
+        ends = [(total + cost[a][b][0], text) for (a, b), (total, text) in best.items()]
+        least = min(total for total, _ in ends)
+        return min(_spelled(text) for total, text in ends if total == least)
 
     def features(self, text: str) -> set[str]:
         """The distinct words of a text, as written and as restored."""
@@ -113,22 +128,21 @@ class Decoder:
             core = token if token.isalpha() else token.strip(EDGES)
             if core.isalpha():
                 out.add(core)
-                if len(core) <= LONGEST and DRAWN.search(core):
+                if DRAWN.search(core):
                     out.update(self.words(core))
             else:
                 plain = LETTERS.findall(core)
                 out.update(plain)
-                if plain and len(token) <= LONGEST:
+                if plain:
                     out.update(self.words(core))
                     if core != token:
                         out.update(self.words(token))
-            if len(token) <= LONGEST:  # signs at an edge are letters or punctuation
-                for part in {token, token.strip("!"), token.lstrip(EDGES), token.rstrip(EDGES), core}:
-                    if not READ.isdisjoint(part):
-                        out.update(self.words(part))
+            for part in {token, token.strip("!"), token.lstrip(EDGES), token.rstrip(EDGES), core}:  # signs at an edge are letters or punctuation
+                if not READ.isdisjoint(part):
+                    out.update(self.words(part))
         for m in SPACED.finditer(text):
             if len(m[0]) >= 5:
-                out.update(self.words(m[0][: 4 * LONGEST], spaced=True))
+                out.update(self.words(m[0], spaced=True))
         return out
 
 

@@ -232,6 +232,14 @@ def test_signs_at_the_edges_of_words_are_read_as_letters():
     assert "stupid" in d.features("stupid!")
 
 
+def test_long_stretches_and_tokens_are_restored_whole():
+    d = decoder()
+    assert "idiot" in d.features(" ".join("you are such a loser and " * 40 + "idiot").replace("   ", "  "))
+    assert "idiot" in d.features("an " + "idi" + "o" * 400 + "t said so")
+    long = "-".join(["such_a"] * 20 + ["$tup1d", "l0ser"] + ["so"] * 3000)
+    assert {"stupid", "loser"} <= d.features(long)
+
+
 def test_toxicity_restores_disguised_words(spark):
     rnd = random.Random(9)
     syllables = ["ka", "lo", "mi", "ne", "ru", "ta", "so", "pe"]
