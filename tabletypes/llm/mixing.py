@@ -1,9 +1,11 @@
-"""Mixing by soft membership: domain posteriors from labels, then nonnegative document rates by projected gradient."""
+"""Mixing by soft membership: domain posteriors from labels, then nonnegative document rates by projected Newton steps."""
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,13 @@ from tabletypes.plans.session import cut
 
 from .quality import SPACES, SYMBOLS
 
+log = logging.getLogger(__name__)
 DOMAINS = ("clean", "low_quality", "toxic")
 # Shares of the mixture's tokens; the total is set so that the first domain keeps all its tokens.
 WEIGHTS = {"clean": 0.91, "low_quality": 0.07, "toxic": 0.02}
-STEPS = 40
-CLOSE = 1e-3
+STEPS = 40  # a guard; more of them raise an error
+CLOSE = 1e-3  # gap of a domain's total, as a share of its target
+EASE = 1e-8  # weight of rates close to 1 against the squares of the gaps
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -64,10 +68,11 @@ def posteriors(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Da
 
 
 def rates(rows: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """``rows`` (id, tokens, p) with ``rate``: nonnegative, and the expected domain totals sum(rate * tokens * p) close to the targets.
+    """``rows`` (id, tokens, p) with ``rate``: nonnegative, and the expected domain totals sum(rate * tokens * p) at the targets.
 
-    Least squares of the totals' gaps, each domain scaled by its own tokens; a document's step is scaled by 1 / its tokens. The steps taken so
-    far are a few numbers per domain, and the rates are recomputed from them, so an iteration is one sum over the table and nothing is kept.
+    Of the rates with the least squares of the totals' gaps, each domain scaled by its own tokens, those closest to 1 by tokens. They are
+    max(0, 1 - p * x) with a number x per domain, found by Newton steps with the matrix sum(tokens * p_i * p_j) of the rates above 0; a step is one
+    sum over the table for each length tried. Targets out of reach are named in a warning; steps that do not end raise an error.
     """
     k = range(len(DOMAINS))
     first = rows.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in k]).first()
@@ -75,24 +80,40 @@ def rates(rows: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     share = [max(0.0, weights.get(d, 0.0)) for d in DOMAINS]
     total = own[0] / share[0] if share[0] and own[0] else sum(own)
     want = [total * s / (sum(share) or 1) for s in share]
-    floor = 1e-3 * (sum(own) or 1)
-    steps: list[list[float]] = []
-
-    def rate() -> Column:
-        r = F.lit(1.0)
-        if steps:
-            taken = F.array(*[F.array(*map(F.lit, g)) for g in steps])
-            r = F.aggregate(taken, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((F.get("p", F.lit(i)) * F.get(g, F.lit(i)) for i in k), F.lit(0.0))))
-        return r
-
-    now = own
+    scale = np.maximum(own, 1e-3 * (sum(own) or 1)) * EASE
+    target = np.array(want)
+    close = CLOSE * np.where(target > 0, target, sum(want) or 1)
+
+    def rate(x: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), 1.0 - sum((F.get("p", F.lit(i)) * float(x[i]) for i in k), F.lit(0.0)))
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The convex function whose least value is sought, its slope and bend, and the gaps of the totals."""
+        p, r, n = [F.get("p", F.lit(i)) for i in k], F.col("r"), F.col("tokens")
+        sums = [F.sum(n * r * r), *[F.sum(n * r * p[i]) for i in k], *[F.sum(F.when(r > 0, n * p[i] * p[j]).otherwise(0.0)) for i in k for j in k]]
+        s = np.array([float(v or 0.0) for v in rows.select("tokens", "p", rate(x).alias("r")).agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).first()])
+        gaps = s[1 : 1 + len(k)] - target
+        return float(s[0] / 2 + x @ target + (scale * x * x).sum() / 2), scale * x - gaps, s[1 + len(k) :].reshape(len(k), len(k)) + np.diag(scale), gaps
+
+    x = np.zeros(len(k))
+    value, slope, bend, gaps = at(x)
     for _ in range(STEPS):
-        gaps = [s - t for s, t in zip(now, want, strict=True)]
-        if max(map(abs, gaps)) <= CLOSE * (sum(want) or 1):
+        if (np.abs(gaps) <= close).all() or not any(own):
+            break
+        if (np.abs(slope) <= close / 10).all():  # the least squares; no rates come closer
+            log.warning("mixing: targets out of reach, totals over targets: %s", {d: (float(g + t), float(t)) for d, g, t in zip(DOMAINS, gaps, target, strict=True)})
             break
-        steps.append([g / max(s, floor) for g, s in zip(gaps, own, strict=True)])
-        now = [x or 0.0 for x in rows.select("tokens", "p", rate().alias("r")).agg(*[F.sum(F.col("r") * F.col("tokens") * F.get("p", F.lit(i))) for i in k]).first()]
-    return rows.withColumn("rate", rate())
+        step, part = -np.linalg.solve(bend, slope), 1.0
+        new = at(x + step)
+        while new[0] > value + 1e-4 * part * float(slope @ step) + 1e-12 * abs(value) and part > 1e-6:
+            part /= 4
+            new = at(x + part * step)
+        x = x + part * step
+        value, slope, bend, gaps = new
+    else:
+        if (np.abs(gaps) > close).any() and (np.abs(slope) > close / 10).any():
+            raise RuntimeError(f"mixing: no rates after {STEPS} steps, gaps {gaps.tolist()} of targets {want}")
+    return rows.withColumn("rate", rate(x))
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:

@@ -305,6 +305,18 @@ def test_rates_reach_the_targets(spark):
     assert all(abs(r.copies - r.rate) < 1 for r in rows)
 
 
+@pytest.mark.parametrize("tail", [0.3, 0.001])
+def test_rates_of_three_overlapping_domains_reach_all_targets(spark, tail):
+    rnd = np.random.default_rng(4)
+    alpha = np.array([2.0, 1.0, tail])
+    rows = [(i, int(n), [float(v) for v in p]) for i, (n, p) in enumerate(zip(rnd.integers(20, 400, 3000), rnd.dirichlet(alpha, 3000), strict=True))]
+    got = mixing.rates(spark.createDataFrame(rows, "id long, tokens long, p array<double>")).collect()
+    totals = np.array([sum(r.rate * r.tokens * r.p[i] for r in got) for i in range(3)])
+    own = sum(n * p[0] for _, n, p in rows)
+    want = own / 0.91 * np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+    assert (abs(totals / want - 1) < 2e-3).all() and min(r.rate for r in got) >= 0
+
+
 def tokenizer():
     public = pytest.importorskip("public_tokenizers")
     return public.path("word_bpe_49k.json")
