@@ -65,26 +65,16 @@ def l4(spark, sf):
     return E.lf_numeric_emd(u, l, gold, FACTOR).withColumn("emd", S.rnd("emd"))
 
 
-@query(
-    "j11_cross_compare",
-    f"WITH {SIDES}, {emd_cte(f'SELECT u, l FROM uu, ll, mom a, mom b WHERE a.dataset_id = u AND b.dataset_id = l AND abs(a.mean - b.mean) < {FACTOR} * a.std')} "
-    "SELECT u, l, round(emd, 6) + 0.0 AS emd FROM em",
-)
+@query("j11_cross_compare", f"WITH {SIDES}, {emd_cte('SELECT u, l FROM uu, ll')} SELECT u, l, round(emd, 3) + 0.0 AS emd FROM em")
 def j11(spark, sf):
     _, _, u, l = numeric_sides(spark, sf)
-    pairs = E.near_means(E.moments(u), E.moments(l), F.lit(FACTOR) * F.col("std"))
-    return E.emd_of_pairs(pairs, u, l).withColumn("emd", S.rnd("emd"))
+    return E.cross_compare(u, l).withColumn("emd", S.rnd("emd", 3))
 
 
-@query(
-    "t1_nearest_labeled",
-    f"WITH {SIDES}, {emd_cte(f'SELECT u, l FROM uu, ll, mom a, mom b WHERE a.dataset_id = u AND b.dataset_id = l AND abs(a.mean - b.mean) < 0.5 * a.std')}, {NEAREST} "
-    "SELECT u, l, semantic_type, round(emd, 6) + 0.0 AS emd, n_types FROM nl",
-)
+@query("t1_nearest_labeled", f"WITH {SIDES}, {emd_cte('SELECT u, l FROM uu, ll')}, {NEAREST} SELECT u, l, semantic_type, round(emd, 3) + 0.0 AS emd, n_types FROM nl")
 def t1(spark, sf):
     gold, _, u, l = numeric_sides(spark, sf)
-    pairs = E.near_means(E.moments(u), E.moments(l), F.lit(0.5) * F.col("std"))
-    return E.nearest_labeled(E.emd_of_pairs(pairs, u, l), gold).withColumn("emd", S.rnd("emd"))
+    return E.nearest(cut(u), cut(l), gold).withColumn("emd", S.rnd("emd", 3))
 
 
 def kinds(gold):
@@ -108,10 +98,8 @@ _PR1 = _PR0 + " UNION SELECT a.dataset_id, b.dataset_id FROM kd a, lab b WHERE a
 def _pruned(spark, sf, mode):
     gold, splits, u, l = numeric_sides(spark, sf)
     tagged = kinds(gold).join(splits, "dataset_id")
-    cand = E.pruned_candidates(
-        tagged.where("split = 'unlabeled' and kind = 'numeric'").select("dataset_id", "table_id"), tagged.where("split = 'labeled'").drop("split"), mode
-    )
-    return E.lf_numeric_emd(u, l, gold, FACTOR, cut(cand)).withColumn("emd", S.rnd("emd"))
+    mine, theirs = tagged.where("split = 'unlabeled' and kind = 'numeric'"), tagged.where("split = 'labeled'").drop("split")
+    return E.lf_numeric_emd_pruned(u, l, gold, FACTOR, mine.select("dataset_id", "table_id"), theirs, mode).withColumn("emd", S.rnd("emd"))
 
 
 @query("l5_numeric_emd_pruned_0", f"WITH {SIDES}, {_LAB}, {emd_cte(_PR0)}, {NEAREST} {vote_sql()}")

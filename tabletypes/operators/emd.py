@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import HOT_ROWS, running
+from ..plans.ordered import HOT_ROWS, position, running
 from ..plans.session import cut
 
 TIE_DIGITS = 9
+BLOCK = 1000  # columns of the right side in a block of a full comparison
 
 
 def emd(weights: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, largest: int | None = None) -> DataFrame:
@@ -41,6 +44,33 @@ def emd_of_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, hot_rows:
     return emd(weights, ["u", "l"], hot_rows, _most_values(left) + _most_values(right))
 
 
+def constant_distances(pairs: DataFrame, labeled: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(u, l, emd) for pairs ``(u, l, c)`` of a column with the one value c and a histogram.
+
+    The distance of a constant is the mean of |x - c|. With the share W and the weighted sum S of the values up to c, all taken from the
+    histogram's mean, it is c (2 W - 1) - 2 S, so each constant only looks up the running sums at its place: one ordered pass over
+    the histogram, however many constants there are.
+    """
+    hist = shares(labeled, ["dataset_id"]).select(F.col("dataset_id").alias("l"), "x", "w")
+    hist = cut(hist.join(pairs.select("l").distinct(), "l", "left_semi"))
+    mean = cut(hist.groupBy("l").agg(F.sum(F.col("w") * F.col("x")).alias("__mean")))
+    marks = hist.join(mean, "l").select("l", (F.col("x") - F.col("__mean")).alias("x"), F.lit(0).alias("asks"), F.lit("").alias("u"), "w")
+    asks = pairs.join(mean, "l").select("l", (F.col("c") - F.col("__mean")).alias("x"), F.lit(1).alias("asks"), F.col("u").cast("string"), F.lit(0.0).alias("w"))
+    sums = {"__share": F.col("w"), "__sum": F.col("w") * F.col("x")}
+    upto = running(marks.unionByName(asks), ["l"], ["x", "asks", "u"], sums, hot_rows=hot_rows).where("asks = 1")
+    found = F.col("x") * (2 * F.col("__share") - 1) - 2 * F.col("__sum")
+    return upto.select("u", "l", F.greatest(found, F.lit(0.0)).alias("emd"))
+
+
+def distances(pairs: DataFrame, left: DataFrame, right: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``emd_of_pairs`` where columns of ``left`` with one value only look their distance up. ``pairs`` is read more than once."""
+    single = left.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("c")).where("n = 1")
+    single = single.select(F.col("dataset_id").alias("u"), "c")
+    pairs = pairs.select("u", "l")
+    full = emd_of_pairs(pairs.join(single, "u", "left_anti"), left, right, hot_rows)
+    return full.unionByName(constant_distances(pairs.join(single, "u"), right, hot_rows))
+
+
 def _most_values(hist: DataFrame) -> int:
     sizes = hist.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
@@ -65,9 +95,9 @@ def near_means(unlabeled: DataFrame, labeled: DataFrame, reach: Column) -> DataF
     u = unlabeled.withColumn("__reach", reach.cast("double")).where(F.col("__reach") > 0)
     level = F.ceil(F.log2(F.col("__reach"))).cast("int")
     u = u.select(F.col("dataset_id").alias("u"), F.col("mean").alias("mu"), "__reach", level.alias("level"))
-    levels = u.select("level").distinct()  # at most as many as a double has exponents
+    levels = [r.level for r in u.select("level").distinct().collect()]  # at most as many as a double has exponents
     width = F.pow(F.lit(2.0), F.col("level"))
-    lab = labeled.select(F.col("dataset_id").alias("l"), F.col("mean").alias("ml")).crossJoin(F.broadcast(levels))
+    lab = labeled.select(F.col("dataset_id").alias("l"), F.col("mean").alias("ml"), F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("level"))
     lab = lab.withColumn("cell", F.floor(F.col("ml") / width))
     cells = u.withColumn("cell", F.explode(F.array(*[F.floor(F.col("mu") / width) + d for d in (-1, 0, 1)])))
     close = cells.join(lab, ["level", "cell"]).where(F.abs(F.col("mu") - F.col("ml")) < F.col("__reach"))
@@ -90,53 +120,149 @@ def nearest_labeled(scored: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def nearest_within(
-    unlabeled: DataFrame,
-    labeled: DataFrame,
-    types: DataFrame,
-    factor: float,
-    candidates: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def column_classes(hist: DataFrame) -> DataFrame:
+    """(dataset_id, rep): columns with the same values in the same shares are named by their smallest id."""
+    row = [F.xxhash64(F.lit(seed), "x", "w").cast("decimal(38,0)") for seed in (1, 2)]
+    shape = shares(hist, ["dataset_id"]).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(f"h{i}") for i, h in enumerate(row)])
+    reps = shape.groupBy("n", "h0", "h1").agg(F.min("dataset_id").alias("rep"))
+    return shape.join(reps, ["n", "h0", "h1"]).select("dataset_id", "rep")
+
+
+def _of_reps(hist: DataFrame, classes: DataFrame) -> DataFrame:
+    return hist.join(classes.where("dataset_id = rep").select("dataset_id"), "dataset_id", "left_semi")
+
+
+def band_pairs(unlabeled: DataFrame, labeled: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(u, l, emd) of pairs among which are, for every column of ``unlabeled``, all nearest columns of ``labeled``.
+
+    Labeled columns are numbered by their means, and each unlabeled one finds its place among them. Its band holds the ``step`` means on either side
+    and doubles each round. Means differ by at most the distance, so a column is done as soon as the gaps to the next means outside its band exceed
+    the best distance found; inside the band only pairs whose gap can still reach that are measured. Rounds grow
+    with the logarithm of the number of labeled columns.
+    """
+    mu = cut(moments(unlabeled)).select(F.col("dataset_id").alias("u"), F.col("mean").alias("mu"))
+    ml = cut(moments(labeled)).select(F.col("dataset_id").alias("l"), F.col("mean").alias("ml"))
+    marks = cut(position(ml, [], ["ml", "l"], "at", hot_rows))
+    both = ml.select(F.lit(0).alias("asks"), F.col("l").alias("id"), F.col("ml").alias("x")).unionByName(mu.select(F.lit(1).alias("asks"), F.col("u").alias("id"), F.col("mu").alias("x")))
+    placed = running(both, [], ["x", "asks", "id"], {"place": F.when(F.col("asks") == 0, 1).otherwise(0).cast("long")}, hot_rows=hot_rows)
+    todo = cut(placed.where("asks = 1").select(F.col("id").alias("u"), F.col("x").alias("mu"), "place", F.lit(float("inf")).alias("best")))
+    slack = F.lit(1e-8) + 1e-11 * F.abs("mu")  # distances that are equal after rounding count as ties
+    scored, step, half = [], 1, 0
+    while True:
+        lower = F.sequence(F.col("place") - step + 1, F.col("place") - half)
+        upper = F.sequence(F.col("place") + half + 1, F.col("place") + step)
+        near = todo.select("u", "mu", "best", F.explode(F.concat(lower, upper)).alias("at")).join(marks, "at")
+        near = cut(near.where(F.abs(F.col("mu") - F.col("ml")) <= F.col("best") + slack).select("u", "l"))
+        found = cut(distances(near, unlabeled, labeled, hot_rows))
+        scored.append(found)
+        least = found.groupBy("u").agg(F.min("emd").alias("found"))
+        todo = todo.join(least, "u", "left").withColumn("best", F.least("best", F.coalesce("found", F.lit(float("inf"))))).drop("found")
+        outside = F.array(F.col("place") - step, F.col("place") + step + 1)
+        gaps = todo.select("u", "mu", F.explode(outside).alias("at")).join(marks, "at").groupBy("u").agg(F.min(F.abs(F.col("mu") - F.col("ml"))).alias("gap"))
+        todo = cut(todo.join(gaps, "u").where(F.col("gap") <= F.col("best") + slack).drop("gap"))
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, scored)
+        step, half = 2 * step, step
+
+
+def nearest(unlabeled: DataFrame, labeled: DataFrame, types: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``nearest_labeled`` of every unlabeled column, exact, without comparing all pairs. Columns of equal shares are compared once."""
+    cu, cl = cut(column_classes(unlabeled)), cut(column_classes(labeled))
+    scored = band_pairs(cut(_of_reps(unlabeled, cu)), cut(_of_reps(labeled, cl)), hot_rows)
+    kinds = types.select("dataset_id", "semantic_type").join(cl, "dataset_id").select(F.col("rep").alias("dataset_id"), "semantic_type").distinct()
+    best = nearest_labeled(scored, kinds).withColumnRenamed("u", "rep")
+    return best.join(cu, "rep").select(F.col("dataset_id").alias("u"), "emd", "l", "semantic_type", "n_types")
+
+
+def cross_compare(unlabeled: DataFrame, labeled: DataFrame, hot_rows: int = HOT_ROWS, block: int = BLOCK) -> DataFrame:
+    """(u, l, emd) of every unlabeled column with every labeled one.
+
+    All pairs are the result here. They meet in blocks of labeled columns, classes of equal columns are measured once, and the distances are joined to the members.
+    """
+    cu, cl = cut(column_classes(unlabeled)), cut(column_classes(labeled))
+    us, ls = cu.select(F.col("rep").alias("u")).distinct(), cl.select(F.col("rep").alias("l")).distinct()
+    blocks = max(1, -(-ls.count() // block))
+    right = ls.withColumn("b", F.pmod(F.xxhash64("l"), F.lit(blocks)))
+    left = us.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found = distances(cut(left.join(right, "b").select("u", "l")), _of_reps(unlabeled, cu), _of_reps(labeled, cl), hot_rows)
+    mine, theirs = cu.select(F.col("rep").alias("u"), F.col("dataset_id").alias("uu")), cl.select(F.col("rep").alias("l"), F.col("dataset_id").alias("ll"))
+    return found.join(mine, "u").join(theirs, "l").select(F.col("uu").alias("u"), F.col("ll").alias("l"), "emd")
+
+
+def _voted(best: DataFrame, unlabeled: DataFrame) -> DataFrame:
+    held = best.join(moments(unlabeled).select(F.col("dataset_id").alias("u"), "std"), "u")
+    return held.select(F.col("u").alias("dataset_id"), "l", F.col("semantic_type").alias("label"), "emd", "n_types", "std")
+
+
+def nearest_within(unlabeled: DataFrame, labeled: DataFrame, types: DataFrame, factor: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Nearest labeled column of every unlabeled one that has any within ``factor`` times its deviation:
-    (dataset_id, l, label, emd, n_types, std). ``candidates(u, l)`` limits the pairs that may be compared.
+    (dataset_id, l, label, emd, n_types, std).
 
-    Columns of a single value have no deviation and hence no reach. They meet their candidates or, if none
-    are given, every labeled column (k per type, a bounded side); columns of the same value share that.
+    Columns of a single cell have no deviation and hence no reach; they get their nearest column at any distance.
     """
     mu, ml = cut(moments(unlabeled)), cut(moments(labeled))
-    pairs = near_means(mu.where("std is not null"), ml, F.lit(factor) * F.col("std"))
-    single = mu.where("std is null").select(F.col("dataset_id").alias("u"), "mean")
-    if candidates is not None:
-        pairs = pairs.join(candidates, ["u", "l"], "left_semi").unionByName(candidates.join(single, "u", "left_semi").select("u", "l"))
-    else:
-        reps = single.groupBy("mean").agg(F.min("u").alias("u"))
-        pairs = pairs.unionByName(reps.select("u").crossJoin(ml.select(F.col("dataset_id").alias("l"))))
-    best = nearest_labeled(emd_of_pairs(cut(pairs), unlabeled, labeled, hot_rows), types)
-    if candidates is None:
-        alike = single.join(reps.withColumnRenamed("u", "rep"), "mean").where("u <> rep").select("rep", F.col("u").alias("twin"))
-        twins = best.join(alike, F.col("u") == F.col("rep")).select(F.col("twin").alias("u"), *[c for c in best.columns if c != "u"])
-        best = best.unionByName(twins)
-    held = best.join(mu.select(F.col("dataset_id").alias("u"), "std"), "u")
-    return held.select(F.col("u").alias("dataset_id"), "l", F.col("semantic_type").alias("label"), "emd", "n_types", "std")
+    pairs = cut(near_means(mu.where("std is not null"), ml, F.lit(factor) * F.col("std")))
+    best = nearest_labeled(distances(pairs, unlabeled, labeled, hot_rows), types)
+    single = cut(unlabeled.join(mu.where("std is null").select("dataset_id"), "dataset_id", "left_semi"))
+    return _voted(best.unionByName(nearest(single, labeled, types, hot_rows).select(*best.columns)), unlabeled)
 
 
-def lf_numeric_emd(
+def nearest_related(
     unlabeled: DataFrame,
     labeled: DataFrame,
     types: DataFrame,
-    factor: float = 0.01,
-    candidates: DataFrame | None = None,
+    factor: float,
+    u_tables: DataFrame,
+    l_tables: DataFrame,
+    mode: int = 0,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
+    """``nearest_within`` among numeric columns of other tables that share a labeled text type with the column's table (mode 0), and
+    also of tables without any labeled text column (mode 1).
+
+    ``u_tables(dataset_id, table_id)``; ``l_tables(dataset_id, table_id, semantic_type, kind)`` of all labeled columns. Pairs come from the band of means first
+    and are then checked for a shared type, so related tables are never multiplied out; only columns of a single cell meet all of them.
+    """
+    text = l_tables.where("kind = 'text'").select("table_id", "semantic_type").distinct()
+    numeric = l_tables.where("kind = 'numeric'").select(F.col("dataset_id").alias("l"), F.col("table_id").alias("lt"))
+    u_types = cut(u_tables.join(text, "table_id").select(F.col("dataset_id").alias("u"), F.col("table_id").alias("ut"), "semantic_type"))
+    l_types = cut(numeric.join(text.withColumnRenamed("table_id", "lt"), "lt").select("l", "lt", "semantic_type"))
+    mu, ml = cut(moments(unlabeled)), cut(moments(labeled))
+    near = cut(near_means(mu.where("std is not null"), ml, F.lit(factor) * F.col("std")))
+    single = cut(mu.where("std is null").select(F.col("dataset_id").alias("u")))
+    related = near.join(u_types, "u").join(l_types, ["l", "semantic_type"]).where("ut <> lt").select("u", "l")
+    of_single = u_types.join(single, "u", "left_semi").join(l_types, "semantic_type").where("ut <> lt").select("u", "l")
+    pairs = related.unionByName(of_single)
+    alone = cut(numeric.join(tables_without_text(l_tables).withColumnRenamed("table_id", "lt"), "lt", "left_semi").select("l"))
+    if mode == 1:
+        pairs = pairs.unionByName(near.join(alone, "l", "left_semi"))
+    scored = distances(cut(pairs.distinct()), unlabeled, labeled, hot_rows)
+    if mode == 1:
+        mine = unlabeled.join(single.withColumnRenamed("u", "dataset_id"), "dataset_id", "left_semi")
+        theirs = labeled.join(alone.withColumnRenamed("l", "dataset_id"), "dataset_id", "left_semi")
+        scored = scored.unionByName(band_pairs(cut(mine), cut(theirs), hot_rows))
+    return _voted(nearest_labeled(scored, types), unlabeled)
+
+
+def _passes(best: DataFrame, factor: float) -> DataFrame:
+    keep = (F.col("n_types") == 1) & (F.col("std").isNull() | (F.round("emd", 9) < F.round(F.lit(factor) * F.col("std"), 9)))
+    return best.where(keep).select("dataset_id", "label", "emd")
+
+
+def lf_numeric_emd(unlabeled: DataFrame, labeled: DataFrame, types: DataFrame, factor: float = 0.01, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Vote of the nearest labeled numeric column: (dataset_id, label, emd).
 
     Abstains (no row) if the best distance reaches ``factor`` times the column's deviation or if
     different types tie for it. A column with a single value has no deviation and hence no threshold.
     """
-    best = nearest_within(unlabeled, labeled, types, factor, candidates, hot_rows)
-    keep = (F.col("n_types") == 1) & (F.col("std").isNull() | (F.round("emd", 9) < F.round(F.lit(factor) * F.col("std"), 9)))
-    return best.where(keep).select("dataset_id", "label", "emd")
+    return _passes(nearest_within(unlabeled, labeled, types, factor, hot_rows), factor)
+
+
+def lf_numeric_emd_pruned(
+    unlabeled: DataFrame, labeled: DataFrame, types: DataFrame, factor: float, u_tables: DataFrame, l_tables: DataFrame, mode: int = 0, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``lf_numeric_emd`` against the columns of related tables only, see ``nearest_related``."""
+    return _passes(nearest_related(unlabeled, labeled, types, factor, u_tables, l_tables, mode, hot_rows), factor)
 
 
 def related_tables(labels: DataFrame) -> DataFrame:
@@ -162,23 +288,6 @@ def tables_without_text(labels: DataFrame) -> DataFrame:
     return g.where("n > 0 and t = 0").select("table_id")
 
 
-def pruned_candidates(unlabeled: DataFrame, labeled: DataFrame, mode: int) -> DataFrame:
-    """Pairs (u, l) worth comparing: numeric columns of tables that share a labeled text type with u's table
-    (mode 0), and also of tables without any labeled text column (mode 1).
-
-    ``unlabeled(dataset_id, table_id)``; ``labeled(dataset_id, table_id, semantic_type, kind)``.
-    """
-    text = labeled.where("kind = 'text'").select("table_id", "semantic_type").distinct()
-    numeric = labeled.where("kind = 'numeric'").select(F.col("dataset_id").alias("l"), "table_id")
-    u_types = unlabeled.join(text, "table_id").select(F.col("dataset_id").alias("u"), F.col("table_id").alias("ut"), "semantic_type")
-    l_types = numeric.join(text, "table_id").select("l", F.col("table_id").alias("lt"), "semantic_type")
-    pairs = u_types.join(l_types, "semantic_type").where("ut <> lt").select("u", "l").distinct()
-    if mode == 1:
-        alone = numeric.join(tables_without_text(labeled), "table_id", "left_semi").select("l")
-        pairs = pairs.unionByName(unlabeled.select(F.col("dataset_id").alias("u")).crossJoin(alone)).distinct()
-    return pairs
-
-
 # --- distances of the attributes of two tables ----------------------------------------------------
 
 
@@ -250,8 +359,8 @@ def group_emd(
     o = shares(attribute_values(complete_o, attrs, strings).join(groups, strings, "left_semi"), keys)
     i = shares(attribute_values(complete_i, attrs, strings).join(groups, strings, "left_semi"), keys)
     per_group = emd(_pair_weights(o, i, strings, attrs, attrs), [*strings, "o_attr", "i_attr"])
-    reduce = {"mean": F.avg, "median": F.median, "min": F.min}[how]
-    return per_group.groupBy("o_attr", "i_attr").agg(reduce("emd").alias("emd"), F.count(F.lit(1)).alias("n_groups"))
+    merged = {"mean": F.avg, "median": F.median, "min": F.min}[how]
+    return per_group.groupBy("o_attr", "i_attr").agg(merged("emd").alias("emd"), F.count(F.lit(1)).alias("n_groups"))
 
 
 def lf_group_emd_correlated(
@@ -296,7 +405,7 @@ def lf_group_emd_correlated(
     lw = met.join(shares(left, ["u", "grp"]), ["u", "grp"]).select("u", "l", "grp", "x", "w")
     rw = shares(right, ["u", "l", "grp"]).join(met, ["u", "l", "grp"], "left_semi").select("u", "l", "grp", "x", (-F.col("w")).alias("w"))
     per_group = emd(lw.unionByName(rw), ["u", "l", "grp"])
-    reduce = {"mean": F.avg, "median": F.median, "min": F.min}[how]
-    scored = cut(per_group.groupBy("u", "l").agg(reduce("emd").alias("emd"), F.count(F.lit(1)).alias("n_groups")))
+    merged = {"mean": F.avg, "median": F.median, "min": F.min}[how]
+    scored = cut(per_group.groupBy("u", "l").agg(merged("emd").alias("emd"), F.count(F.lit(1)).alias("n_groups")))
     best = nearest_labeled(scored, labeled).where("n_types = 1")
     return best.join(scored.select("u", "l", "n_groups"), ["u", "l"]).select(F.col("u").alias("dataset_id"), F.col("semantic_type").alias("label"), "emd", "n_groups")
