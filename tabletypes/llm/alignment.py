@@ -30,19 +30,18 @@ from .token_counts import byte_letters
 
 BLANK = "▁"  # stands for a blank in B's pieces
 BEFORE_UNIT = re.compile(r"(?<=\S)(?= \S)")
-KEPT = 200_000  # units a task keeps
+KEPT = 300_000  # units a task keeps, and as many that it asked for before
+AT_ONCE = 1 << 14  # characters of units encoded as one text
 SUMMED = 1_000_000  # pairs a map task holds
 HEAVY = 1 << 17
 
 
-def ends(spans: list[tuple[int, int]], parts: list[bytes]) -> list[int]:
-    """Byte offsets where tokens end: a span's end if the token has its characters for itself, else as far as its decoded bytes go."""
-    out, at = [], 0
-    for i, (start, end) in enumerate(spans):
-        alone = start == at and end > start and (i + 1 == len(spans) or spans[i + 1][0] >= end)
-        at = end if alone else at + len(parts[i])
-        out.append(at)
-    return out
+def ends(end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Byte offsets where the tokens of a run of bytes end: a span's end if the token's ``size`` decoded bytes fill the span from the end of the one before, else as
+    far as the decoded bytes go (parts of a character share a span, or all but one have none)."""
+    refined = np.cumsum(size)
+    fits = np.diff(end, prepend=0) == size
+    return np.where(fits & (end == refined), end, refined)
 
 
 class Aligner:
@@ -63,48 +62,86 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.width)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.apart = not any(" " in p.lstrip(b" ").decode() for i, p in enumerate(self.b_bytes) if not self.b.is_byte(i))
+        self.a_size, self.b_size = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(p) for p in self.b_bytes], np.int64)
+        for i, part in self.a_bytes.items():
+            self.a_size[i] = len(part)
+        names = [str(i) for i in range(max(len(self.a_size), self.width))]
+        self.names = {sign: np.array([n + sign for n in names], object) for sign in ",|;"}
+        self.name_size = np.array([len(n) + 1 for n in names], np.int64)
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def units(self, text: str) -> list[str]:
         """A blank and the text, cut before single blanks (kept whole if a piece of B has a blank inside)."""
         return BEFORE_UNIT.split(" " + text) if self.apart else [" " + text]
 
     def learn(self, units: set[str]) -> None:
-        """Align units that are not known yet."""
-        fresh = [u for u in units if u not in self.known]
-        for unit, a, b in zip(fresh, self.a.encode_batch(fresh, add_special_tokens=False), self.b.encode([u[1:] for u in fresh], return_type="proto", num_threads=1) if fresh else [], strict=True):
-            self.known[unit] = self._aligned(unit, a, b)
-
-    def _aligned(self, unit: str, a, b) -> tuple | None:
-        """(groups as text, tokens of A and of B, groups, links as 64-bit codes); None if the tokens' bytes are not the unit's."""
-        raw = unit.encode()
-        a_parts, b_parts = [self.a_bytes[i] for i in a.ids], [self.b_bytes[p.id] for p in b.pieces]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return None
-        place = range(len(unit) + 1) if len(raw) == len(unit) else np.cumsum([0, *(len(c.encode()) for c in unit)]).tolist()
-        a_ends = ends([(place[x], place[y]) for x, y in a.offsets], a_parts)
-        # B's spans are bytes of the unit without its first blank, which the first token takes in
-        b_ends = ends([(p.begin + 1 if i else 0, p.end + 1 if p.end > p.begin or i else 0) for i, p in enumerate(b.pieces)], b_parts)
-        groups, links, i, j, a_from, b_from = [], [], 0, 0, 0, 0
-        while i < len(a_ends) and j < len(b_ends):
-            if a_ends[i] < b_ends[j]:
-                i += 1
-            elif b_ends[j] < a_ends[i]:
-                j += 1
+        """Align units that are not known yet. Of the known ones those asked for lately are kept."""
+        if len(self.known) > KEPT:
+            self.known, self.older = {}, self.known
+        fresh: list[str] = []
+        size = 0
+        for unit in units.difference(self.known):
+            if unit in self.older:
+                self.known[unit] = self.older[unit]
+            elif self.apart and BLANK not in unit:
+                fresh.append(unit)
+                size += len(unit)
+                if size >= AT_ONCE:
+                    self._learn(fresh)
+                    fresh, size = [], 0
             else:
-                i, j = i + 1, j + 1
-                links.append(a.ids[i - 1] * self.width + b.pieces[j - 1].id)
-                groups.append(f"{','.join(map(str, a.ids[a_from:i]))}|{','.join(str(p.id) for p in b.pieces[b_from:j])}")
-                a_from, b_from = i, j
-        return ";".join(groups), len(a_ends), len(b_ends), len(groups), np.array(links, np.int64).tobytes()
+                self._learn([unit])
+        if fresh:
+            self._learn(fresh)
+
+    def _learn(self, units: list[str]) -> None:
+        """Units that stand side by side are a text of their own, and are encoded as one."""
+        if not self._aligned(units):
+            for unit in units:
+                if len(units) == 1 or not self._aligned([unit]):
+                    self.known[unit] = None
+
+    def _aligned(self, units: list[str]) -> bool:
+        """Keep (groups as text, tokens of A, links as 64-bit codes) of each unit; not if the tokens' bytes are not the units'."""
+        text = "".join(units)
+        a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        a_list, b_list, raw = a.ids, [p.id for p in b], text.encode()
+        if b"".join([self.a_bytes[x] for x in a_list]) != raw or b"".join([self.b_bytes[x] for x in b_list]) != raw:
+            return False
+        a_ids, b_ids = np.array(a_list), np.array(b_list)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        byte_at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+        a_ends = ends(byte_at[[y for _, y in a.offsets]], self.a_size[a_ids])
+        b_ends = ends(np.array([p.end for p in b]) + 1, self.b_size[b_ids])  # B's spans are bytes of the text without its first blank, which the first token takes in
+        cuts, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        unit_ends = byte_at[np.cumsum([len(u) for u in units])]
+        if not np.isin(unit_ends, cuts, assume_unique=True).all():
+            return False
+        codes = (a_ids[i] * self.width + b_ids[j]).tobytes()
+        n_a, n_b, n = (np.bincount(np.searchsorted(unit_ends, x), minlength=len(units)) for x in (a_ends, b_ends, cuts))
+        a_in, b_in = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        a_text = np.where(a_ends == cuts[a_in], self.names["|"][a_ids], self.names[","][a_ids])
+        b_text = np.where(b_ends == cuts[b_in], self.names[";"][b_ids], self.names[","][b_ids])
+        order = np.argsort(np.concatenate([2 * a_in, 2 * b_in + 1]), kind="stable")
+        groups = "".join(np.concatenate([a_text, b_text])[order].tolist())
+        size = np.add.reduceat(self.name_size[a_ids], np.cumsum(n_a) - n_a) + np.add.reduceat(self.name_size[b_ids], np.cumsum(n_b) - n_b)
+        stop, last = np.cumsum(size).tolist(), (8 * np.cumsum(n)).tolist()
+        for unit, x, z, w, to, upto in zip(units, n_a.tolist(), n.tolist(), size.tolist(), stop, last, strict=True):
+            self.known[unit] = groups[to - w : to - 1], x, codes[upto - 8 * z : upto]
+        return True
 
     def align(self, units: list[str]) -> tuple | None:
         """(groups as text, tokens of A, of B, groups, links as an array of codes) of a text's units."""
         found = [self.known[u] for u in units]
         if None in found:
             return None
-        groups, a, b, n, links = zip(*found, strict=True)
-        return ";".join(groups), sum(a), sum(b), sum(n), np.frombuffer(b"".join(links), np.int64)
+        groups, a = ";".join([x[0] for x in found]), sum([x[1] for x in found])
+        links = np.frombuffer(b"".join([x[2] for x in found]), np.int64)
+        return groups, a, groups.count(",") + 2 * len(links) - a, len(links), links  # a group of k tokens has k - 2 commas
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
 
 
 @lru_cache(maxsize=1)
@@ -130,13 +167,12 @@ def _documents(a_file: str, b_file: str):
                     parts = []
             out += _rows(work, parts)
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=names)
+        work.forget()  # an idle worker holds no units
 
     return run
 
 
 def _rows(work: Aligner, parts: list[tuple[int, int | None, list[str]]]) -> list[tuple]:
-    if len(work.known) > KEPT:
-        work.known.clear()
     work.learn({u for _, _, units in parts for u in units})
     out = []
     for row, doc, units in parts:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 from math import floor, isfinite, nan
 
 import numpy as np
@@ -188,13 +189,18 @@ def decoded(name):
     return bytes(table[c] for c in name)
 
 
-def brute_alignment(rows):
+@cache
+def tokenizers_of_both():
     import sentencepiece
     from tokenizers import Tokenizer
 
     a = Tokenizer.from_file(A_FILE)
     a.encode_special_tokens = True
-    b = sentencepiece.SentencePieceProcessor(model_file=B_FILE)
+    return a, sentencepiece.SentencePieceProcessor(model_file=B_FILE)
+
+
+def brute_alignment(rows):
+    a, b = tokenizers_of_both()
     per = []
     for doc, text in rows:
         x = a.encode(" " + text, add_special_tokens=False) if text else None
@@ -246,10 +252,16 @@ def test_known_units_are_bounded_and_forgotten(spark, monkeypatch):
     assert out == alignment._rows(fresh, [(0, 1, fresh.units(t)) for t in texts])
 
 
-def test_spans_are_cuts_and_bytes_refine_them():
-    assert alignment.ends([(0, 2), (2, 3)], [b"ab", b"c"]) == [2, 3]
-    assert alignment.ends([(0, 3), (0, 3), (0, 3), (3, 4)], [b"\xe6", b"\x97", b"\xa5", b"x"]) == [1, 2, 3, 4]
-    assert alignment.ends([(0, 0), (1, 1), (1, 3), (3, 4)], [b" ", b"\xc3", b"\xa4", b"x"]) == [1, 2, 3, 4]
+@pytest.mark.parametrize(
+    ("span_ends", "sizes", "want"),
+    [
+        ([2, 3], [2, 1], [2, 3]),
+        ([3, 3, 3, 4], [1, 1, 1, 1], [1, 2, 3, 4]),  # parts of a character, each with the whole span
+        ([1, 1, 3, 4], [1, 1, 1, 1], [1, 2, 3, 4]),  # bytes of a character, of which the last has the span
+    ],
+)
+def test_spans_are_cuts_and_bytes_refine_them(span_ends, sizes, want):
+    assert alignment.ends(np.array(span_ends), np.array(sizes)).tolist() == want
 
 
 def test_alignment_of_empty_tables(spark):
