@@ -84,32 +84,34 @@ def c5(spark, sf):
 
 @query(
     "c6_sample_column",
-    f"WITH {X.cells_cte(X.NUMERIC + X.TEXT)}, o AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY md5('7|' || dataset_id || '|' || row_id), row_id) AS r FROM cells) "
+    f"WITH {X.cells_cte()}, o AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY md5('7|' || dataset_id || '|' || row_id), row_id) AS r FROM cells) "
     "SELECT dataset_id, row_id, value FROM o WHERE r <= 5",
 )
 def c6(spark, sf):
-    return C.sample_column(X.cells(spark, sf, X.NUMERIC + X.TEXT), 5, 7).select("dataset_id", "row_id", "value")
+    return C.sample_column(X.cells(spark, sf), 5, 7).select("dataset_id", "row_id", "value")
 
 
 @query(
     "c6_sample_fraction",
-    f"WITH {X.cells_cte(X.NUMERIC + X.TEXT)} SELECT dataset_id, count(*) AS n, min(row_id) AS lo, max(value) AS hi FROM cells "
+    f"WITH {X.cells_cte()} SELECT dataset_id, count(*) AS n, min(row_id) AS lo, max(value) AS hi FROM cells "
     "WHERE substring(md5('7|' || dataset_id || '|' || row_id), 1, 8) < '19999999' GROUP BY ALL",
 )
 def c6_fraction(spark, sf):
-    kept = C.sample_fraction(X.cells(spark, sf, X.NUMERIC + X.TEXT), 0.1, 7)
+    kept = C.sample_fraction(X.cells(spark, sf), 0.1, 7)
     return kept.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("lo"), F.max("value").alias("hi"))
 
 
 @query(
     "c6_sample_with_replacement",
-    f"WITH {X.cells_cte(X.NUMERIC)}, s AS (SELECT dataset_id, count(*) AS n FROM cells GROUP BY 1), "
-    "d AS (SELECT dataset_id, draw, ('0x' || substring(md5('3|' || dataset_id || '|' || draw), 1, 8))::BIGINT % n + 1 AS pos FROM s, range(1, 11) t(draw)), "
-    "p AS (SELECT dataset_id, value, row_number() OVER (PARTITION BY dataset_id ORDER BY row_id) AS pos FROM cells) "
-    "SELECT dataset_id, draw::INTEGER AS draw, value FROM d JOIN p USING (dataset_id, pos)",
+    f"WITH {X.cells_cte()}, s AS (SELECT dataset_id, count(*) AS n FROM cells GROUP BY 1), "
+    "d AS (SELECT dataset_id, draw, ('0x' || substring(md5('3|' || dataset_id || '|' || draw), 1, 8))::BIGINT % n AS number FROM s, range(1, 11) t(draw)), "
+    # the numbers in the order of their first draw stand for the cells in the order of their digests
+    "g AS (SELECT dataset_id, number, min(draw) AS d1 FROM d GROUP BY ALL), f AS (SELECT dataset_id, number, row_number() OVER (PARTITION BY dataset_id ORDER BY d1) AS r FROM g), "
+    "p AS (SELECT dataset_id, value, row_number() OVER (PARTITION BY dataset_id ORDER BY md5('3|' || dataset_id || '|' || row_id), row_id) AS r FROM cells) "
+    "SELECT dataset_id, draw::INTEGER AS draw, value FROM d JOIN f USING (dataset_id, number) JOIN p USING (dataset_id, r)",
 )
 def c6_replacement(spark, sf):
-    return C.sample_with_replacement(X.cells(spark, sf, X.NUMERIC), 10, 3).select("dataset_id", "draw", "value")
+    return C.sample_with_replacement(X.cells(spark, sf), 10, 3).select("dataset_id", "draw", "value")
 
 
 @query(
@@ -151,10 +153,24 @@ def c9(spark, sf):
     return out.select("col_idx", "header_l", "header_r", "n_left", "n_right")
 
 
-@query("c10_add_gaussian_noise")
+_KEY = "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey"
+
+
+def _normal(seed):
+    u, v = (f"((('0x' || md5('{seed}|' || {_KEY})[{a}:{a + 9}])::BIGINT::DOUBLE + 1) / 1099511627776.0::DOUBLE)" for a in (1, 11))
+    return f"sqrt(-2 * ln({u})) * cos(2 * pi() * {v})"
+
+
+@query(
+    "c10_add_gaussian_noise",
+    f"WITH d AS (SELECT stddev_samp(l_quantity) AS dq, stddev_samp(l_extendedprice) AS de FROM lineitem), n AS (SELECT *, md5('5|' || {_KEY})[1:8] < '19999999' AS noisy FROM lineitem) "
+    f"SELECT noisy, l_linenumber, count(*) AS n, round(sum(CASE WHEN noisy THEN l_quantity + {_normal(6)} * dq ELSE l_quantity END), 3) AS quantity, "
+    f"round(sum(CASE WHEN noisy THEN l_extendedprice + {_normal(7)} * de ELSE l_extendedprice END), 1) AS price FROM n, d GROUP BY ALL",
+)
 def c10(spark, sf):
-    noisy = C.add_gaussian_noise(X.base(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"], 0.1, 5)
-    return noisy.groupBy("noisy").agg(F.count(F.lit(1)).alias("n"), S.rnd(F.avg("l_quantity"), 2).alias("mean_quantity"))
+    noisy = C.add_gaussian_noise(X.base(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], 0.1, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 5)
+    sums = S.rnd(F.sum("l_quantity"), 3).alias("quantity"), S.rnd(F.sum("l_extendedprice"), 1).alias("price")
+    return noisy.groupBy("noisy", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
 @query(

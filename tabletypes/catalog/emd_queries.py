@@ -65,16 +65,31 @@ def l4(spark, sf):
     return E.lf_numeric_emd(u, l, gold, FACTOR).withColumn("emd", S.rnd("emd"))
 
 
-@query("j11_cross_compare", f"WITH {SIDES}, {emd_cte('SELECT u, l FROM uu, ll')} SELECT u, l, round(emd, 3) + 0.0 AS emd FROM em")
+@query("j11_cross_compare", f"WITH {SIDES}, {emd_cte('SELECT u, l FROM uu, ll')} SELECT u, l, round(ln(1 + emd), 6) + 0.0 AS log_emd FROM em")
 def j11(spark, sf):
     _, _, u, l = numeric_sides(spark, sf)
-    return E.cross_compare(u, l).withColumn("emd", S.rnd("emd", 3))
+    # distances reach from 0 to 100 000; their logarithms agree to as many digits for all
+    return E.cross_compare(u, l).select("u", "l", S.rnd(F.log1p("emd")).alias("log_emd"))
 
 
-@query("t1_nearest_labeled", f"WITH {SIDES}, {emd_cte('SELECT u, l FROM uu, ll')}, {NEAREST} SELECT u, l, semantic_type, round(emd, 3) + 0.0 AS emd, n_types FROM nl")
+_SAME = (
+    "SELECT a.dataset_id AS u, b.dataset_id AS l FROM gold a JOIN gold b USING (semantic_type) WHERE semantic_type IN ('quantity', 'discount', 'tax') AND a.dataset_id < b.dataset_id"
+)
+
+
+@query("w3_emd", f"WITH {SIDES}, {emd_cte(_SAME)} SELECT u, l, round(emd, 9) + 0.0 AS emd FROM em")
+def w3(spark, sf):
+    """Distances between the columns of one type, without sampling or pruning."""
+    few = X.gold(spark, sf).where("semantic_type IN ('quantity', 'discount', 'tax')").select("dataset_id", "semantic_type")
+    pairs = few.withColumnRenamed("dataset_id", "u").join(few.withColumnRenamed("dataset_id", "l"), "semantic_type").where("u < l")
+    h = cut(hist(spark, sf))
+    return E.emd_of_pairs(cut(pairs.select("u", "l")), h, h).withColumn("emd", S.rnd("emd", 9))
+
+
+@query("t1_nearest_labeled", f"WITH {SIDES}, {emd_cte('SELECT u, l FROM uu, ll')}, {NEAREST} SELECT u, l, semantic_type, round(emd, 6) + 0.0 AS emd, n_types FROM nl")
 def t1(spark, sf):
     gold, _, u, l = numeric_sides(spark, sf)
-    return E.nearest(cut(u), cut(l), gold).withColumn("emd", S.rnd("emd", 3))
+    return E.nearest(cut(u), cut(l), gold).withColumn("emd", S.rnd("emd"))
 
 
 def kinds(gold):

@@ -189,21 +189,33 @@ def r8_related(spark, sf):
     return E.cell_candidates(asked(p), p, cut(E.header_header(p))).groupBy("query_id").agg(F.count_distinct("cand").alias("n"))
 
 
+# the other entities of the columns that hold a supplier
+@query(
+    "r8_cell_candidates_by_column",
+    f"WITH {EC}, co AS (SELECT DISTINCT entity, t_id, c_id FROM ec) SELECT a.entity AS query_id, b.entity AS cand, 1::BIGINT AS n_seeds, count(*) AS n_columns "
+    "FROM co a JOIN co b USING (t_id, c_id) WHERE a.c_id = 1 GROUP BY ALL",
+)
+def r8_by_column(spark, sf):
+    cells = cut(entity_cells(spark, sf))
+    seeds = cells.where("c_id = 1").select(F.col("entity").alias("query_id"), F.col("entity").alias("seed")).distinct()
+    return E.cell_candidates_by_column(seeds, cells)
+
+
 def _rank_sql(score):
-    return f"sc AS (SELECT query_id, cand, max({score}) AS score FROM cd LEFT JOIN hh ON h1 = header AND h2 = source GROUP BY ALL) SELECT query_id, cand, score::DOUBLE AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand))::INTEGER AS rank FROM sc QUALIFY rank <= 10"
+    return f"sc AS (SELECT query_id, cand, max({score}) AS score FROM cd LEFT JOIN hh ON h1 = header AND h2 = source GROUP BY ALL) SELECT query_id, cand, score::DOUBLE AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand))::INTEGER AS rank FROM sc QUALIFY rank <= 100"
 
 
 @query("r9_rank_cells_exact", f"WITH {RP}, {_HH}, {_ASK}, {_rank_sql('CASE WHEN source = header THEN 10000 ELSE -1 END')}")
 def r9_exact(spark, sf):
     p = cut(pairs(spark, sf))
-    return E.rank_cells(E.cell_candidates(asked(p), p), "exact", n=10)
+    return E.rank_cells(E.cell_candidates(asked(p), p), "exact")
 
 
 @query("r9_rank_cells_h2h", f"WITH {RP}, {_HH}, {_ASK}, {_rank_sql('CASE WHEN source = header THEN 10000 ELSE coalesce(n, -1) END')}")
 def r9_h2h(spark, sf):
     p = cut(pairs(spark, sf))
     hh = E.header_header(p).withColumnRenamed("n", "sim")
-    return E.rank_cells(E.cell_candidates(asked(p), p), "h2h", hh, 10)
+    return E.rank_cells(E.cell_candidates(asked(p), p), "h2h", hh)
 
 
 @query(
@@ -211,7 +223,7 @@ def r9_h2h(spark, sf):
     f"WITH {RP}, {_HH}, {_ASK}, nn AS (SELECT h1, sqrt(sum(n * n)) AS l FROM hh GROUP BY 1), "
     "cs AS (SELECT a.h1 AS ha, b.h1 AS hb, sum(a.n * b.n) / (any_value(x.l) * any_value(y.l)) AS sim FROM hh a JOIN hh b ON a.h2 = b.h2 JOIN nn x ON x.h1 = a.h1 JOIN nn y ON y.h1 = b.h1 WHERE a.h1 <> b.h1 GROUP BY ALL), "
     "sc AS (SELECT query_id, cand, max(CASE WHEN source = header THEN 10000 ELSE coalesce(round(sim, 9), -1) END) AS score FROM cd LEFT JOIN cs ON ha = header AND hb = source GROUP BY ALL) "
-    "SELECT query_id, cand, round(score, 6)::DOUBLE AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand))::INTEGER AS rank FROM sc QUALIFY rank <= 10",
+    "SELECT query_id, cand, round(score, 6)::DOUBLE AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand))::INTEGER AS rank FROM sc QUALIFY rank <= 100",
 )
 def r9_vector(spark, sf):
     from ..operators.lfs import sparse_cosine
@@ -221,7 +233,7 @@ def r9_vector(spark, sf):
     v = hh.select(F.col("h1").alias("ha"), F.col("h2").alias("dim"), F.col("n").cast("double").alias("w"))
     sim = sparse_cosine(v, v.withColumnRenamed("ha", "hb"), "ha", "hb").where("ha <> hb")
     sim = sim.select(F.col("ha").alias("h1"), F.col("hb").alias("h2"), F.round("sim", 9).alias("sim"))
-    return E.rank_cells(E.cell_candidates(asked(p), p), "vector", sim, 10).withColumn("score", S.rnd("score"))
+    return E.rank_cells(E.cell_candidates(asked(p), p), "vector", sim).withColumn("score", S.rnd("score"))
 
 
 @query("r11_cell_fill_testset", f"WITH {RP} SELECT t_id, c_id, c_name, e1, e2 FROM rp WHERE (t_id, c_id) IN (SELECT (t_id, c_id) FROM rp GROUP BY t_id, c_id HAVING count(*) > 3)")
@@ -381,12 +393,16 @@ def j13(spark, sf):
 
 @query(
     "d2_entity_examples",
-    f"WITH {EC}, vo AS (SELECT entity FROM ec GROUP BY 1 HAVING count(*) >= 25), k0 AS (SELECT * FROM ec WHERE entity IN (SELECT entity FROM vo)), "
+    f"WITH RECURSIVE {EC}, vo AS (SELECT entity FROM ec GROUP BY 1 HAVING count(*) >= 25), k0 AS (SELECT * FROM ec WHERE entity IN (SELECT entity FROM vo)), "
     "v AS (SELECT t_id, r_id, list(c_id || entity ORDER BY c_id) AS v FROM k0 GROUP BY ALL), f AS (SELECT t_id, min(r_id) AS r_id FROM v GROUP BY t_id, v), k1 AS (SELECT k0.* FROM k0 JOIN f USING (t_id, r_id)), "
-    "co AS (SELECT t_id FROM k1 WHERE c_id = 0 GROUP BY 1 HAVING count(*) >= 3), it AS (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY r_id, c_id) AS pos, count(*) OVER (PARTITION BY t_id) AS n, "
-    "count(*) OVER (PARTITION BY t_id ORDER BY r_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 8 AS ch FROM k1 WHERE t_id IN (SELECT t_id FROM co)), "
+    "co AS (SELECT t_id FROM k1 WHERE c_id = 0 GROUP BY 1 HAVING count(*) >= 3), "
+    "ww AS (SELECT t_id, r_id, count(*) AS w FROM k1 WHERE t_id IN (SELECT t_id FROM co) GROUP BY ALL), rw AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY r_id) AS i FROM ww), "
+    # row by row: a chunk that has reached 8 cells is closed
+    "ck AS (SELECT t_id, r_id, i, w AS held, 0 AS ch FROM rw WHERE i = 1 UNION ALL "
+    "SELECT rw.t_id, rw.r_id, rw.i, CASE WHEN held >= 8 THEN rw.w ELSE held + rw.w END, CASE WHEN held >= 8 THEN ch + 1 ELSE ch END FROM ck JOIN rw ON rw.t_id = ck.t_id AND rw.i = ck.i + 1), "
+    "it AS (SELECT k1.*, ch, row_number() OVER (PARTITION BY k1.t_id ORDER BY k1.r_id, c_id) AS pos, count(*) OVER (PARTITION BY k1.t_id) AS n FROM k1 JOIN ck USING (t_id, r_id)), "
     "sz AS (SELECT t_id, max(ch) AS la FROM it GROUP BY 1), nl AS (SELECT t_id, la, count(*) FILTER (WHERE ch = la) AS n_last FROM it JOIN sz USING (t_id) GROUP BY ALL) "
-    "SELECT t_id, CASE WHEN n_last < 3 AND la > 0 AND pos > n - 3 THEN la ELSE ch END AS chunk, pos, r_id, c_id, entity FROM it JOIN nl USING (t_id)",
+    "SELECT t_id, (CASE WHEN n_last < 3 AND la > 0 AND pos > n - 3 THEN la ELSE ch END)::BIGINT AS chunk, pos, r_id, c_id, entity FROM it JOIN nl USING (t_id)",
 )
 def d2(spark, sf):
     cells = entity_cells(spark, sf)
@@ -430,21 +446,27 @@ def d3_entities(spark, sf):
     return m.groupBy("role", "mask_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+# the streams run longer here than any example needs
 @query(
     "d4_negative_candidates",
     "WITH ex AS (SELECT o_orderkey AS example_id, min(l_partkey) AS gold FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), pv AS (SELECT DISTINCT l_orderkey AS example_id, l_partkey AS cand FROM lineitem), "
-    "vo AS (SELECT l_partkey AS entity, count(*) AS cnt FROM lineitem GROUP BY 1), ow AS (SELECT entity, sum(cnt) OVER (ORDER BY entity) - cnt AS lo, sum(cnt) OVER (ORDER BY entity) AS hi FROM vo), "
-    "tt AS (SELECT sum(cnt)::BIGINT AS total FROM vo), tk AS (SELECT example_id, draw, ('0x' || md5('9|' || example_id || '|' || draw)[1:12])::BIGINT % total AS t FROM ex, range(1, 21) r(draw), tt), "
-    "al AS (SELECT example_id, entity AS cand, draw + 1 AS prio FROM tk ASOF JOIN ow ON t >= lo UNION ALL SELECT example_id, gold, 0 FROM ex UNION ALL SELECT example_id, cand, 1 FROM pv), "
-    "u AS (SELECT example_id, cand, min(prio) AS prio FROM al GROUP BY ALL) "
-    "SELECT example_id, cand, (row_number() OVER (PARTITION BY example_id ORDER BY prio, cand))::INTEGER AS slot, CASE prio WHEN 0 THEN 'gold' WHEN 1 THEN 'provided' ELSE 'random' END AS kind FROM u QUALIFY slot <= 10",
+    "v0 AS (SELECT l_partkey AS entity, count(*) AS cnt, floor(log2(count(*)))::INTEGER AS cls FROM lineitem GROUP BY 1), vo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY entity) AS place FROM v0), "
+    "cl AS (SELECT cls, count(*) AS size, 2.0::DOUBLE ** (cls + 1) AS cap FROM vo GROUP BY 1), "
+    "ar AS (SELECT example_id, cls, size, cap, i, md5('9|' || example_id || '|' || cls || '|' || i) AS h FROM ex, cl, range(1, 61) r(i) WHERE size > 40), "
+    "tm AS (SELECT *, sum(-ln((('0x' || h[1:10])::BIGINT::DOUBLE + 1) / 1099511627776.0::DOUBLE)) OVER (PARTITION BY example_id, cls ORDER BY i) / (size * cap) AS time, "
+    "floor((1 - (('0x' || h[11:20])::BIGINT::DOUBLE + 1) / 1099511627776.0::DOUBLE) * size)::BIGINT + 1 AS place FROM ar), "
+    "dr AS (SELECT example_id, entity AS cand, time FROM tm JOIN vo USING (cls, place) WHERE (('0x' || h[21:30])::BIGINT::DOUBLE + 1) / 1099511627776.0::DOUBLE * cap <= cnt UNION ALL "
+    "SELECT example_id, entity, -ln((('0x' || md5('10|' || example_id || '|' || cls || '|' || place)[1:10])::BIGINT::DOUBLE + 1) / 1099511627776.0::DOUBLE) / cnt FROM ex, vo JOIN cl USING (cls) WHERE size <= 40), "
+    "al AS (SELECT example_id, cand, 2 AS prio, time FROM dr UNION ALL SELECT example_id, gold, 0, 0 FROM ex UNION ALL SELECT example_id, cand, 1, 0 FROM pv), "
+    "u AS (SELECT example_id, cand, min(prio) AS prio, min(time) AS time FROM al GROUP BY ALL) "
+    "SELECT example_id, cand, (row_number() OVER (PARTITION BY example_id ORDER BY prio, CASE WHEN prio = 2 THEN time ELSE 0 END, cand))::INTEGER AS slot, CASE prio WHEN 0 THEN 'gold' WHEN 1 THEN 'provided' ELSE 'random' END AS kind FROM u QUALIFY slot <= 10",
 )
 def d4(spark, sf):
     li = X.base(spark, sf, "lineitem")
     ex = li.groupBy(F.col("l_orderkey").alias("example_id")).agg(F.min("l_partkey").alias("gold"))
     given = li.select(F.col("l_orderkey").alias("example_id"), F.col("l_partkey").alias("cand")).distinct()
     vocab = li.groupBy(F.col("l_partkey").alias("entity")).agg(F.count(F.lit(1)).alias("cnt"))
-    return D.negative_candidates(ex, given, cut(vocab), 10, 20, 9)
+    return D.negative_candidates(cut(ex), cut(given), vocab, 10, 9)
 
 
 @query(

@@ -147,7 +147,7 @@ def columns_cte() -> str:
                 f"SELECT DISTINCT {table} AS table_id, {i} AS col_idx, '{h}' AS header, '{t}' AS semantic_type, "
                 f"{table} || '+column_{i}' AS dataset_id FROM {name}"
             )
-    return "columns_ AS (" + "\nUNION ALL ".join(selects) + "), gold AS (SELECT dataset_id, table_id, col_idx, semantic_type FROM columns_)"
+    return "columns_ AS MATERIALIZED (" + "\nUNION ALL ".join(selects) + "), gold AS (SELECT dataset_id, table_id, col_idx, semantic_type FROM columns_)"
 
 
 def hist_cte(types: list[str] | None = None) -> str:
@@ -165,5 +165,5 @@ def splits_cte(k: int = 3, test: float = 0.2, seed: int = 0) -> str:
         f"sp1 AS (SELECT dataset_id, CASE WHEN p <= ceil(round({test} * n, 9)) THEN 'test' ELSE 'unlabeled' END AS split FROM sp0), "
         f"sp2 AS (SELECT g.dataset_id, row_number() OVER (PARTITION BY semantic_type ORDER BY md5('{seed + 1}|' || g.dataset_id), g.dataset_id) AS r "
         "FROM gold g JOIN sp1 USING (dataset_id) WHERE split <> 'test'), "
-        f"splits AS (SELECT sp1.dataset_id, CASE WHEN r <= {k} THEN 'labeled' ELSE split END AS split FROM sp1 LEFT JOIN sp2 USING (dataset_id))"
+        f"splits AS MATERIALIZED (SELECT sp1.dataset_id, CASE WHEN r <= {k} THEN 'labeled' ELSE split END AS split FROM sp1 LEFT JOIN sp2 USING (dataset_id))"
     )

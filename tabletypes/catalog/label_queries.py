@@ -170,15 +170,32 @@ _EMBED = (
     "WHERE list_cosine_similarity(a.v, b.v) >= 0.95",
 )
 def j14(spark, sf):
-    return K.cosine_pairs(column_vectors(spark, sf), "dataset_id", "embedding", DIM, 0.95).withColumn("sim", S.rnd("sim"))
+    return K.cosine_pairs(column_vectors(spark, sf), "dataset_id", "embedding", 0.95).withColumn("sim", S.rnd("sim"))
+
+
+# one merge at a time: the two clusters of the least mean distance, until it reaches the cut
+_LINKAGE = (
+    "uv AS (SELECT dataset_id AS id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM ev WHERE list_dot_product(v, v) > 0), "
+    "pd AS (SELECT a.id AS a, b.id AS b, 1 - list_dot_product(a.v, b.v) AS d FROM uv a JOIN uv b ON a.id <> b.id), "
+    "cl AS (SELECT 0 AS step, id, id AS c FROM uv UNION ALL "
+    "SELECT step + 1, id, CASE WHEN c = m.b THEN m.a ELSE c END FROM cl, (SELECT x.c AS a, y.c AS b FROM cl x JOIN cl y ON x.c < y.c JOIN pd ON pd.a = x.id AND pd.b = y.id "
+    "GROUP BY ALL HAVING round(avg(d), 12) < 0.1 ORDER BY round(avg(d), 12), a, b LIMIT 1) m), "
+    "fc AS (SELECT id, c FROM cl WHERE step = (SELECT max(step) FROM cl)), "
+    "tc AS (SELECT c, semantic_type, count(*) AS n FROM fc JOIN gold ON dataset_id = id JOIN splits USING (dataset_id) WHERE split = 'labeled' GROUP BY ALL), "
+    "mt AS (SELECT c, first(semantic_type ORDER BY n DESC, semantic_type) AS label FROM tc GROUP BY c)"
+)
 
 
-@query("l8_lf_embedding_cluster")
+@query(
+    "l8_lf_embedding_cluster",
+    f"WITH RECURSIVE {X.cells_cte(WORD_TYPES)}, {WORDS_CTE}, {_EMBED}, {X.columns_cte()}, {X.splits_cte()}, {_LINKAGE} "
+    "SELECT id AS dataset_id, 'embedding_cluster' AS lf, label FROM fc JOIN mt USING (c) WHERE id NOT IN (SELECT dataset_id FROM splits WHERE split = 'labeled')",
+)
 def l8(spark, sf):
     gold = X.gold(spark, sf)
     labeled = C.split_absolute(gold, 3).where("split = 'labeled'")
     known = gold.join(labeled, "dataset_id", "left_semi").select(F.col("dataset_id").alias("id"), "semantic_type")
-    return K.lf_embedding_cluster(column_vectors(spark, sf), "dataset_id", "embedding", DIM, known, 0.1)
+    return K.lf_embedding_cluster(column_vectors(spark, sf), "dataset_id", "embedding", known, 0.1)
 
 
 # clusters given by the label of the embeddings, types by the parity of the id
@@ -270,6 +287,20 @@ def v6(spark, sf):
     return V.ablation(votes_of(spark, sf), {"all": [], "no_pattern": ["value_pattern"], "no_overlap": ["value_overlap"]})
 
 
+# the runs that differ in what a generated label does to a known one; "no_steering" trains on known labels alone
+@query(
+    "v6_no_overwrite",
+    f"{_V}, {MAJORITY}, {X.columns_cte()}, {X.splits_cte()}, l AS (SELECT dataset_id, semantic_type FROM gold JOIN splits USING (dataset_id) WHERE split = 'labeled'), "
+    "b AS (SELECT dataset_id, semantic_type, label FROM l FULL JOIN mv USING (dataset_id)), "
+    "r AS (SELECT 'overwrite' AS run_id, dataset_id, coalesce(label, semantic_type) AS label FROM b UNION ALL SELECT 'no_overwrite', dataset_id, coalesce(semantic_type, label) FROM b "
+    "UNION ALL SELECT 'no_steering', dataset_id, semantic_type FROM b) SELECT * FROM r WHERE label IS NOT NULL",
+)
+def v6_keep(spark, sf):
+    gold = X.gold(spark, sf)
+    labeled = J.in_split(gold, C.split_absolute(gold, 3), "labeled")
+    return V.label_runs(labeled, V.majority_vote(votes_of(spark, sf)))
+
+
 @query(
     "v7_same_size_sample",
     f"{_V}, {MAJORITY}, {X.columns_cte()} SELECT dataset_id, semantic_type FROM (SELECT *, row_number() OVER (ORDER BY md5('8|' || dataset_id), dataset_id) AS p FROM gold) WHERE p <= (SELECT count(*) FROM mv)",

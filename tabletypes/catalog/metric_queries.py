@@ -85,6 +85,21 @@ def m3(spark, sf):
     return M.top_confusions(M.confusion_matrix(argmax(X.gold(spark, sf))), 5)
 
 
+# each document is taken to have the language that its source has most
+@query(
+    "t4_top_confusions",
+    "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT source, first(lang ORDER BY n DESC, lang) AS pred FROM c GROUP BY 1), "
+    "cm AS (SELECT lang AS truth, pred, count(*) AS n FROM documents JOIN p USING (source) WHERE lang <> pred GROUP BY ALL), "
+    "d AS (SELECT truth AS cls, pred AS other, n, 'mis_to' AS direction FROM cm UNION ALL SELECT pred, truth, n, 'mis_from' FROM cm) "
+    "SELECT *, (row_number() OVER (PARTITION BY direction, cls ORDER BY n DESC, other))::INTEGER AS rank FROM d QUALIFY rank <= 5",
+)
+def t4(spark, sf):
+    docs = X.base(spark, sf, "documents").select("source", "lang")
+    counts = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang"))["lang"].alias("pred"))
+    return M.top_confusions(M.confusion_matrix(docs.join(most, "source").select(F.col("lang").alias("truth"), "pred")), 5)
+
+
 def argmax(gold):
     s = type_scores(gold)
     best = s.groupBy("dataset_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("semantic_type").alias("t")))["t"].alias("pred"))

@@ -144,38 +144,64 @@ _SEED = (
 )
 
 
+# tables of the best captions: distinct captions are the documents
+_CAPTION = (
+    "dc AS (SELECT caption, min(t_id) AS t_id FROM cp GROUP BY 1), dt AS (SELECT caption, term, tf FROM dc JOIN tm USING (t_id)), dl AS (SELECT caption, sum(tf) AS len FROM dt GROUP BY 1), "
+    "ts AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), wh AS (SELECT count(*) AS nd, avg(len) AS al FROM dl), "
+    "bs AS (SELECT q.caption AS qc, d.caption AS dc, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM dt q JOIN dt d USING (term) JOIN ts USING (term) JOIN dl ON dl.caption = d.caption, wh GROUP BY ALL), "
+    "f1 AS (SELECT caption, t_id FROM cp QUALIFY row_number() OVER (PARTITION BY caption ORDER BY t_id) <= 100), "
+    "bc AS (SELECT qc AS caption, t_id, score FROM bs JOIN f1 ON f1.caption = dc QUALIFY row_number() OVER (PARTITION BY qc ORDER BY round(score, 9) DESC, t_id) <= 100)"
+)
+# candidates of a table: by its seed's tables, and by its caption's best tables
+_BOTH = (
+    "qe AS (SELECT query_id, cand FROM se JOIN ca USING (seed) WHERE cand <> seed), ke AS (SELECT DISTINCT caption, entity AS cand FROM bc JOIN et USING (t_id)), "
+    "qk AS (SELECT query_id, cand FROM se JOIN cp ON cp.t_id = query_id JOIN ke USING (caption) WHERE cand <> seed), qc AS (SELECT * FROM qe UNION SELECT * FROM qk)"
+)
+
+
+def caption_tables(caps):
+    """(query_id, t_id): the tables of the best captions of each table."""
+    found = R.tables_by_caption(caps, STOP, 100).select("caption", F.col("t_id").alias("found"))
+    return caps.join(found, "caption").select(F.col("t_id").alias("query_id"), F.col("found").alias("t_id"))
+
+
 def seeds(cells):
     return cells.where("r_id = 0 and c_id = 0").select(F.col("t_id").alias("query_id"), F.col("entity").alias("seed"))
 
 
 @query(
     "r5_row_candidates",
-    f"WITH {EC}, {_TERMS}, {_SEED}, a AS (SELECT seed, count(*) FILTER (WHERE cand <> seed) AS n FROM ca GROUP BY 1), c AS (SELECT seed, count(*) FILTER (WHERE cand <> seed) AS n FROM cc GROUP BY 1) "
-    "SELECT query_id, a.n AS n_entity, c.n AS n_category FROM se JOIN a USING (seed) JOIN c USING (seed)",
+    f"WITH {EC}, {_TERMS}, {_SEED}, {_CAPTION}, {_BOTH}, a AS (SELECT query_id, count(*) AS n FROM qe GROUP BY 1), c AS (SELECT seed, count(*) FILTER (WHERE cand <> seed) AS n FROM cc GROUP BY 1), "
+    "k AS (SELECT query_id, count(*) AS n FROM qk GROUP BY 1), e AS (SELECT query_id, count(*) AS n FROM qc GROUP BY 1) "
+    "SELECT query_id, coalesce(a.n, 0) AS n_entity, c.n AS n_category, k.n AS n_caption, e.n AS n_both FROM se LEFT JOIN a USING (query_id) JOIN c USING (seed) JOIN k USING (query_id) JOIN e USING (query_id)",
 )
 def r5(spark, sf):
     cells = cut(entity_cells(spark, sf))
+    caps = cut(captions(spark, sf))
     brands = X.base(spark, sf, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("entity"), F.col("p_brand").alias("category"))
-    cand = R.row_candidates(seeds(cells), core_tables(cells), categories=brands)
-    return cand.groupBy("query_id").agg(F.count_if(F.col("source") == "entity").alias("n_entity"), F.count_if(F.col("source") == "category").alias("n_category"))
+    cand = R.row_candidates(seeds(cells), cut(core_tables(cells)), caption_tables(caps), brands)
+    per = cand.groupBy("query_id", "cand").agg(*[F.max((F.col("source") == s).cast("int")).alias(s) for s in ("entity", "category", "caption")])
+    counts = [F.sum(s).alias(f"n_{s}") for s in ("entity", "category", "caption")]
+    return per.groupBy("query_id").agg(*counts, F.count_if((F.col("entity") + F.col("caption")) > 0).alias("n_both"))
 
 
 @query(
     "r6_rank_rows",
-    f"WITH {EC}, {_TERMS}, {_SEED}, nt AS (SELECT entity AS cand, count(*) AS n_e FROM et GROUP BY 1), "
+    f"WITH {EC}, {_TERMS}, {_SEED}, {_CAPTION}, {_BOTH}, nt AS (SELECT entity AS cand, count(*) AS n_e FROM et GROUP BY 1), "
     "pe AS (SELECT seed, b.entity AS cand, 0.5 * count(*) / any_value(n_e) AS pee FROM (SELECT DISTINCT seed FROM se) JOIN et a ON a.entity = seed JOIN et b USING (t_id) JOIN nt ON nt.cand = seed GROUP BY ALL), "
     "ef AS (SELECT entity AS cand, term, sum(tf) AS tf FROM et JOIN tm USING (t_id) GROUP BY ALL), el AS (SELECT cand, sum(tf) AS len FROM ef GROUP BY 1), ct AS (SELECT term, sum(tf) AS ctf FROM tm GROUP BY 1), cl AS (SELECT sum(ctf) AS coll FROM ct), "
-    "ck AS (SELECT DISTINCT caption, cand FROM se JOIN ca USING (seed) JOIN cp ON cp.t_id = query_id WHERE cand <> seed), "
-    "cq AS (SELECT caption, term, count(*) AS m FROM (SELECT DISTINCT caption, t0.t_id FROM cp t0) JOIN tm USING (t_id) GROUP BY ALL), c1 AS (SELECT DISTINCT caption, term FROM cq), "
+    "q2 AS (SELECT query_id, seed, caption, cand FROM qc JOIN se USING (query_id) JOIN cp ON cp.t_id = query_id), ck AS (SELECT DISTINCT caption, cand FROM q2), "
+    "c1 AS (SELECT DISTINCT caption, term FROM cp JOIN tm USING (t_id)), "
     "pc AS (SELECT caption, cand, exp(sum(ln((coalesce(tf, 0) + 0.5 * ctf / coll) / (len + 0.5)))) AS pce FROM ck JOIN c1 USING (caption) JOIN ct USING (term) JOIN el USING (cand) LEFT JOIN ef USING (cand, term), cl GROUP BY ALL), "
     "hf AS (SELECT entity AS cand, header, count(*) AS n_le FROM et JOIN hd USING (t_id) GROUP BY ALL), hx AS (SELECT entity AS cand, term, sum(tf) AS tf FROM et JOIN ht USING (t_id) GROUP BY ALL), hl AS (SELECT cand, sum(tf) AS len FROM hx GROUP BY 1), "
     "hc AS (SELECT term, sum(tf) AS ctf FROM ht GROUP BY 1), hn AS (SELECT sum(ctf) AS coll FROM hc), h1 AS (SELECT DISTINCT header, unnest(string_split(lower(header), ' ')) AS term FROM hd), "
-    "lk AS (SELECT DISTINCT header, cand FROM se JOIN ca USING (seed) JOIN hd ON hd.t_id = query_id WHERE cand <> seed), "
+    "ls AS (SELECT t_id AS query_id, string_agg(header, '|' ORDER BY header) AS lid FROM hd GROUP BY 1), lh AS (SELECT DISTINCT lid, header FROM ls JOIN hd ON t_id = query_id), "
+    "q3 AS (SELECT q2.*, lid FROM q2 JOIN ls USING (query_id)), lc AS (SELECT DISTINCT lid, cand FROM q3), lk AS (SELECT DISTINCT header, cand FROM lc JOIN lh USING (lid)), "
     "pl AS (SELECT header, cand, exp(sum(ln((coalesce(tf, 0) + 0.5 * ctf / coll) / (len + 0.5)))) AS p FROM lk JOIN h1 USING (header) JOIN hc USING (term) JOIN hl USING (cand) LEFT JOIN hx USING (cand, term), hn GROUP BY ALL), "
-    "le AS (SELECT query_id, cand, sum(0.5 * p + 0.5 / 3 * coalesce(n_le, 0) / n_e) AS ple FROM se JOIN ca USING (seed) JOIN hd ON hd.t_id = query_id JOIN pl USING (header, cand) JOIN nt USING (cand) LEFT JOIN hf USING (header, cand) WHERE cand <> seed GROUP BY ALL), "
+    "le AS (SELECT lid, cand, sum(0.5 * p + 0.5 / 3 * coalesce(n_le, 0) / n_e) AS ple FROM lc JOIN lh USING (lid) JOIN pl USING (header, cand) JOIN nt USING (cand) LEFT JOIN hf USING (header, cand) GROUP BY ALL), "
     "sc AS (SELECT query_id, cand, ln(greatest(1e-6, coalesce(pee, 0))) + ln(greatest(1e-6, pce)) + ln(greatest(1e-6, ple)) AS score, 100 * coalesce(pee, 0) + pce + 0.5 * ple AS blend "
-    "FROM se JOIN ca USING (seed) JOIN cp ON cp.t_id = query_id JOIN pc USING (caption, cand) JOIN le USING (query_id, cand) LEFT JOIN pe USING (seed, cand) WHERE cand <> seed) "
-    "SELECT query_id, cand, round(score, 5) AS score, round(blend, 5) AS blend, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, cand))::INTEGER AS rank FROM sc QUALIFY rank <= 3",
+    "FROM q3 JOIN pc USING (caption, cand) JOIN le USING (lid, cand) LEFT JOIN pe USING (seed, cand)) "
+    "SELECT query_id, cand, round(score, 5) AS score, round(blend, 5) AS blend, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, cand))::INTEGER AS rank FROM sc QUALIFY rank <= 100",
 )
 def r6(spark, sf):
     cells = cut(entity_cells(spark, sf))
@@ -183,60 +209,61 @@ def r6(spark, sf):
     caps, heads = cut(captions(spark, sf)), cut(headers(cells))
     ct, ht = cut(caption_terms(caps)), cut(header_terms(heads))
     s = cut(seeds(cells))
-    cand = cut(R.row_candidates(s, of).select("query_id", "cand"))
+    cand = cut(R.row_candidates(s, of, caption_tables(caps)).select("query_id", "cand").distinct())
     ranked = R.rank_rows(
         cand, cut(R.seed_sets(s)), caps.withColumnRenamed("t_id", "query_id"), heads.select(F.col("t_id").alias("query_id"), F.col("header").alias("label")), of,
-        cut(E.entity_term_freq(of, ct)), cut(E.collection_term_freq(ct)), cut(E.entity_header_freq(of, heads)), cut(E.entity_term_freq(of, ht)), cut(E.collection_term_freq(ht)), STOP, n=3,
+        cut(E.entity_term_freq(of, ct)), cut(E.collection_term_freq(ct)), cut(E.entity_header_freq(of, heads)), cut(E.entity_term_freq(of, ht)), cut(E.collection_term_freq(ht)), STOP,
     )
     return ranked.select("query_id", "cand", S.rnd("score", 5).alias("score"), S.rnd("blend", 5).alias("blend"), "rank")
 
 
-# related tables of a table: the ten that share most of its subject entities; the seed header is "part"
+# related tables of a table: the hundred that share most of its subject entities, those of the best captions, and those of the seed header "part"
 _REL = (
     "rk AS (SELECT a.t_id AS query_id, b.t_id, count(*) AS k FROM et a JOIN et b USING (entity) GROUP BY ALL), "
-    "rl AS (SELECT query_id, t_id, k FROM rk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, t_id) <= 10)"
+    "rl AS (SELECT query_id, t_id, k FROM rk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, t_id) <= 100)"
 )
+# every table has the seed header and as many header terms, so all score the same for it
+_ALL = (
+    f"{_REL}, {_CAPTION}, hp AS (SELECT DISTINCT t_id FROM hd ORDER BY t_id LIMIT 100), "
+    "al AS (SELECT query_id, t_id FROM rl UNION SELECT cp.t_id, bc.t_id FROM cp JOIN bc USING (caption) UNION SELECT cp.t_id, hp.t_id FROM cp, hp)"
+)
+
+
+def related_tables(cells, caps, of):
+    seed = cells.select(F.col("t_id").alias("query_id")).distinct().withColumn("header", F.lit("part"))
+    parts = [R.tables_by_entity(of.withColumnRenamed("t_id", "query_id"), of, 100), caption_tables(caps), R.tables_by_heading(seed, headers(cells), STOP, 100)]
+    return seed, cut(parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct())
 
 
 @query("r7_tables_by_entity", f"WITH {EC}, {_TERMS}, {_REL} SELECT query_id, t_id FROM rl")
 def r7_tables(spark, sf):
     of = cut(core_tables(entity_cells(spark, sf)))
-    return R.tables_by_entity(of.withColumnRenamed("t_id", "query_id"), of, 10)
+    return R.tables_by_entity(of.withColumnRenamed("t_id", "query_id"), of, 100)
 
 
-@query("r7_column_candidates", f"WITH {EC}, {_TERMS}, {_REL} SELECT DISTINCT query_id, header FROM rl JOIN hd USING (t_id) WHERE header <> 'part'")
+@query("r7_column_candidates", f"WITH {EC}, {_TERMS}, {_ALL} SELECT DISTINCT query_id, header FROM al JOIN hd USING (t_id) WHERE header <> 'part'")
 def r7_candidates(spark, sf):
     cells = cut(entity_cells(spark, sf))
-    of = cut(core_tables(cells))
-    rel = R.tables_by_entity(of.withColumnRenamed("t_id", "query_id"), of, 10)
-    seed = cells.select(F.col("t_id").alias("query_id")).distinct().withColumn("header", F.lit("part"))
+    seed, rel = related_tables(cells, cut(captions(spark, sf)), cut(core_tables(cells)))
     return R.column_candidates(rel, headers(cells), seed)
 
 
 @query(
     "r7_rank_columns",
-    f"WITH {EC}, {_TERMS}, {_REL}, ne AS (SELECT t_id AS query_id, count(*) AS n FROM et GROUP BY 1), lm AS (SELECT query_id, t_id, -k::DOUBLE AS score FROM rl), "
-    "p AS (SELECT query_id, t_id, greatest(1e-6, k / n) * 1 * greatest(1e-6, exp(score)) / 3 AS p FROM rl JOIN ne USING (query_id) JOIN lm USING (query_id, t_id)), "
+    f"WITH {EC}, {_TERMS}, {_ALL}, ne AS (SELECT t_id AS query_id, count(*) AS n FROM et GROUP BY 1), tc AS (SELECT term, sum(tf) AS ctf FROM tm GROUP BY 1), tl AS (SELECT t_id, sum(tf) AS len FROM tm GROUP BY 1), "
+    "lm AS (SELECT t_id, sum(ln((tf + 50 * ctf / (SELECT sum(ctf) FROM tc)) / (len + 50))) AS score FROM tm JOIN tc USING (term) JOIN tl USING (t_id) GROUP BY 1), "
+    "p AS (SELECT query_id, t_id, greatest(1e-6, coalesce(k, 0) / n) * greatest(1e-6, exp(score)) / 3 AS p FROM al JOIN ne USING (query_id) JOIN lm USING (t_id) LEFT JOIN rk USING (query_id, t_id)), "
     "s AS (SELECT query_id, header, sum(p) AS score FROM p JOIN hd USING (t_id) WHERE header <> 'part' GROUP BY ALL) "
-    "SELECT query_id, header, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, header))::INTEGER AS rank FROM s QUALIFY rank <= 5",
+    "SELECT query_id, header, round(score, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, header))::INTEGER AS rank FROM s QUALIFY rank <= 100",
 )
 def r7_rank(spark, sf):
     cells = cut(entity_cells(spark, sf))
-    of = cut(core_tables(cells))
-    asked = of.withColumnRenamed("t_id", "query_id")
-    rel = cut(R.tables_by_entity(asked, of, 10))
-    seed = cells.select(F.col("t_id").alias("query_id")).distinct().withColumn("header", F.lit("part"))
-    # a stand-in for the caption score: minus the number of shared entities
-    lm = rel.join(asked, "query_id").join(of, ["t_id", "entity"], "left_semi").groupBy("query_id", "t_id").agg((-F.count(F.lit(1))).cast("double").alias("score"))
-    return R.rank_columns(rel, cut(headers(cells)), seed, of, asked, lm, 5).withColumn("score", S.rnd("score"))
+    of, caps = cut(core_tables(cells)), cut(captions(spark, sf))
+    seed, rel = related_tables(cells, caps, of)
+    ranked = R.rank_columns(rel, cut(headers(cells)), seed, of, of.withColumnRenamed("t_id", "query_id"), cut(R.own_caption_score(caps, STOP)))
+    return ranked.withColumn("score", S.rnd("score", 9))
 
 
-@query(
-    "r7_tables_by_caption",
-    f"WITH {EC}, {_TERMS}, dc AS (SELECT caption, min(t_id) AS t_id FROM cp GROUP BY 1), dt AS (SELECT caption, term, tf FROM dc JOIN tm USING (t_id)), dl AS (SELECT caption, sum(tf) AS len FROM dt GROUP BY 1), "
-    "ts AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), wh AS (SELECT count(*) AS nd, avg(len) AS al FROM dl), "
-    "bs AS (SELECT q.caption AS qc, d.caption AS dc, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM dt q JOIN dt d USING (term) JOIN ts USING (term) JOIN dl ON dl.caption = d.caption, wh GROUP BY ALL) "
-    "SELECT qc AS caption, t_id, round(score, 6) AS score FROM bs JOIN cp ON cp.caption = dc QUALIFY row_number() OVER (PARTITION BY qc ORDER BY round(score, 9) DESC, t_id) <= 10",
-)
+@query("r7_tables_by_caption", f"WITH {EC}, {_TERMS}, {_CAPTION} SELECT caption, t_id, round(score, 6) AS score FROM bc")
 def r7_caption(spark, sf):
-    return R.tables_by_caption(cut(captions(spark, sf)), STOP, 10).withColumn("score", S.rnd("score"))
+    return R.tables_by_caption(cut(captions(spark, sf)), STOP, 100).withColumn("score", S.rnd("score"))

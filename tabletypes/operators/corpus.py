@@ -10,6 +10,12 @@ Frames used throughout:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import pi
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,10 +89,45 @@ def drop_small_tables(cells: DataFrame, least: int) -> DataFrame:
     return cells.join(size.select("table_id"), "table_id", "left_semi")
 
 
+SKETCH_ROWS = 200_000  # rows a map task holds in sketches
+
+
+def _bottom(n: int, columns: list[str]):
+    """Keep the ``n`` rows of least digest of each column of a task; rows are (columns.., __o) with the digest last."""
+
+    def compact(rows: pa.Table) -> pa.Table:
+        code = rows.column("dataset_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        order = pc.sort_indices(rows.append_column("__c", pa.array(code)), [("__c", "ascending"), ("__o", "ascending"), ("row_id", "ascending")]).to_numpy()
+        code = code[order]
+        place = np.arange(len(code)) - np.searchsorted(code, code)
+        return rows.take(pa.array(order[place < n]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh, waiting = None, [], 0
+        for batch in batches:
+            fresh.append(batch)
+            waiting += batch.num_rows
+            if waiting >= max(SKETCH_ROWS // 4, 0 if held is None else held.num_rows):
+                new = pa.Table.from_batches(fresh)
+                held, fresh, waiting = compact(new if held is None else pa.concat_tables([held, new])), [], 0
+                if held.num_rows > SKETCH_ROWS:
+                    yield from held.to_batches()
+                    held = None
+        if fresh or held is not None:
+            parts = [held] if held is not None else []
+            yield from compact(pa.concat_tables([*parts, pa.Table.from_batches(fresh)] if fresh else parts)).to_batches()
+
+    return run
+
+
 def sample_column(cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` cells per column, the same in every run. The constant limit cuts each column before the shuffle."""
+    """``n`` cells per column, the same in every run: those of the least digest.
+
+    Each task merges its cells into sketches of ``n`` rows per column without sorting them by column first; only the sketches are shuffled.
+    """
     keyed = cells.withColumn("__o", S.seeded_order(seed, "dataset_id", "row_id"))
-    return top(keyed, ["dataset_id"], [F.col("__o"), F.col("row_id")], n, "__r").drop("__o", "__r")
+    sketches = keyed.mapInArrow(_bottom(n, keyed.columns), keyed.schema)
+    return top(sketches, ["dataset_id"], [F.col("__o"), F.col("row_id")], n, "__r").drop("__o", "__r")
 
 
 def sample_fraction(cells: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
@@ -96,13 +137,21 @@ def sample_fraction(cells: DataFrame, fraction: float, seed: int = 0) -> DataFra
 
 
 def sample_with_replacement(cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` draws per column, a cell may be drawn more than once."""
+    """``n`` draws per column, a cell may be drawn more than once: the cells with ``draw``.
+
+    A draw is a number up to the column's size. Which cell a number stands for does not matter, so the numbers drawn first, second, ... stand for the cells of
+    a sample without replacement; no cell is numbered.
+    """
     sizes = cells.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("__n"))
     draws = sizes.select("dataset_id", "__n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
     hashed = F.conv(F.substring(S.seeded_order(seed, "dataset_id", "draw"), 1, 8), 16, 10).cast("long")
-    wanted = draws.select("dataset_id", "draw", (hashed % F.col("__n") + 1).alias("pos"))
-    numbered = position(cells, ["dataset_id"], ["row_id"], "pos")
-    return numbered.join(wanted, ["dataset_id", "pos"], "inner").drop("pos")
+    wanted = draws.select("dataset_id", "draw", (hashed % F.col("__n")).alias("number"))
+    firsts = wanted.groupBy("dataset_id", "number").agg(F.min("draw").alias("first"))
+    w = Window.partitionBy("dataset_id").orderBy("first")  # ``n`` rows at most
+    firsts = firsts.withColumn("__r", F.row_number().over(w)).drop("first")
+    keyed = sample_column(cells, n, seed).withColumn("__o", S.seeded_order(seed, "dataset_id", "row_id"))
+    ranked = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("dataset_id").orderBy("__o", "row_id"))).drop("__o")
+    return wanted.join(firsts, ["dataset_id", "number"]).join(ranked, ["dataset_id", "__r"]).drop("number", "__r")
 
 
 def numeric_cells(cells: DataFrame) -> DataFrame:
@@ -139,14 +188,24 @@ def compare_schemas(columns: DataFrame, left: Column, right: Column) -> DataFram
     return both.where(~(F.col("header_l").eqNullSafe(F.col("header_r")) & F.col("type_l").eqNullSafe(F.col("type_r"))))
 
 
-def add_gaussian_noise(df: DataFrame, columns: list[str], fraction: float, seed: int = 0) -> DataFrame:
-    """The rows plus a copy of a random ``fraction`` of them with N(0, std of the column) added."""
+def add_gaussian_noise(df: DataFrame, columns: list[str], fraction: float, keys: list[str], seed: int = 0) -> DataFrame:
+    """The rows, where a ``fraction`` of them has N(0, deviation of the column) added to each of ``columns``, with a flag ``noisy``.
+
+    Rows are chosen, and their noise is made, from digests of the ``keys``; rows that share all keys share both. Nulls stay null; a column
+    without a deviation gets no noise.
+    """
+    bound = format(min(int(fraction * 16**8), 16**8 - 1), "08x")
     spread = df.agg(*[F.stddev_samp(c).alias(f"__{c}") for c in columns])
-    chosen = df.sample(False, fraction, seed).crossJoin(F.broadcast(spread))  # one row of deviations
-    noisy = chosen.withColumns(
-        {c: F.col(c) + F.randn(seed + i) * F.coalesce(f"__{c}", F.lit(0.0)) for i, c in enumerate(columns)}
-    ).drop(*[f"__{c}" for c in columns])
-    return df.withColumn("noisy", F.lit(False)).unionByName(noisy.withColumn("noisy", F.lit(True)))
+    chosen = F.substring(S.seeded_order(seed, *keys), 1, 8) < bound
+
+    def normal(i: int) -> Column:
+        digest = S.seeded_order(seed + 1 + i, *keys)
+        u, v = ((F.conv(F.substring(digest, at, 10), 16, 10).cast("double") + 1) / float(16**10) for at in (1, 11))
+        return F.sqrt(-2 * F.log(u)) * F.cos(2 * pi * v)
+
+    marked = df.crossJoin(F.broadcast(spread)).withColumn("noisy", chosen)  # one row of deviations
+    noisy = {c: F.when(F.col("noisy"), F.col(c) + normal(i) * F.coalesce(f"__{c}", F.lit(0.0))).otherwise(F.col(c)) for i, c in enumerate(columns)}
+    return marked.withColumns(noisy).drop(*[f"__{c}" for c in columns])
 
 
 def dedupe_rows(entity_cells: DataFrame) -> DataFrame:

@@ -105,6 +105,21 @@ def cell_candidates(asked: DataFrame, row_pairs: DataFrame, related: DataFrame |
     return got.select("query_id", "subject", "header", "source", "cand")
 
 
+def cell_candidates_by_column(seeds: DataFrame, columns: DataFrame) -> DataFrame:
+    """(query_id, cand, n_seeds, n_columns): entities of the columns that hold a seed, with the number of the query's seeds and of such columns they share.
+
+    ``seeds(query_id, seed)``; ``columns(entity, t_id, c_id)``. Queries with the same seeds share the work.
+    """
+    packed = seeds.groupBy("query_id").agg(F.array_sort(F.collect_set("seed")).alias("seeds")).withColumn("sid", F.md5(F.to_json("seeds")))
+    asked = packed.select("sid", F.explode("seeds").alias("entity")).distinct()
+    held = columns.select("entity", "t_id", "c_id").distinct()
+    found = asked.join(held, "entity").withColumnRenamed("entity", "seed").join(held.withColumnRenamed("entity", "cand"), ["t_id", "c_id"])
+    # a seed and a column are each counted once: first per column, then over the columns
+    per_seed = found.groupBy("sid", "cand").agg(F.count_distinct("seed").alias("n_seeds"))
+    per_column = found.select("sid", "cand", "t_id", "c_id").distinct().groupBy("sid", "cand").agg(F.count(F.lit(1)).alias("n_columns"))
+    return packed.select("query_id", "sid").join(per_seed, "sid").join(per_column, ["sid", "cand"]).select("query_id", "cand", "n_seeds", "n_columns")
+
+
 def rank_cells(candidates: DataFrame, method: str, similarity: DataFrame | None = None, n: int = 100) -> DataFrame:
     """Best ``n`` candidates per query. Same header scores 10000; another one -1 (``exact``) or the given
     similarity of the headers (``h2h`` co-occurrence count, ``vector`` cosine; -1 where unknown)."""

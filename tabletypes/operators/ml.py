@@ -1,17 +1,22 @@
-"""MLlib pipelines on table corpora: topics, clusters of topics, learnt vectors, column classifiers."""
+"""Models on table corpora: topics and their clusters, header vectors, column classifiers and the weight of their features."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import StandardScaler, StringIndexer, Word2Vec
+from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import scalars as S
-from ..plans.ordered import position
+from ..functions import vectors as V
+from ..plans.ordered import position, top
 from ..plans.session import cut
 from .metrics import classification_report
 
@@ -23,21 +28,29 @@ def table_terms(cells: DataFrame, longest: int, stop: list[str], numbers_as_type
     return freq.select("table_id", "c", F.explode(S.marked_tokens("v", longest, stop)).alias("term")).groupBy("table_id", "term").agg(F.sum("c").alias("tf"))
 
 
-def count_vectors(terms: DataFrame, size: int) -> DataFrame:
-    """Count vector of each table over the ``size`` terms that most tables have."""
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocab = df.orderBy(F.desc("df"), "term").limit(size)
-    numbered = position(vocab.withColumn("neg", -F.col("df")), [], ["neg", "term"], "i").select("term", (F.col("i") - 1).alias("i"))
-    packed = terms.join(F.broadcast(numbered), "term").groupBy("table_id").agg(  # at most ``size`` terms
-        F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.col("tf").cast("double")))).alias("m")
-    )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0.0)))
-    return packed.select("table_id", array_to_vector(dense).alias("features"))
+def number_terms(terms: DataFrame) -> DataFrame:
+    """(term, i): all terms numbered from 0, those of most tables first. Large vocabularies are numbered in range partitions."""
+    df = terms.groupBy("term").agg((-F.count(F.lit(1))).alias("neg"))
+    return position(df, [], ["neg", "term"], "at").select("term", (F.col("at") - 1).cast("int").alias("i"))
 
 
-def topic_model(terms: DataFrame, k: int, vocabulary: int = 500, iterations: int = 10, seed: int = 1):
-    """Online LDA over the tables; returns the model and (table_id, topic array)."""
-    vectors = cut(count_vectors(terms, vocabulary))
+def count_vectors(terms: DataFrame) -> DataFrame:
+    """(table_id, features): sparse count vector of each table over the whole vocabulary of ``terms(table_id, term, tf)``.
+
+    The rows are written in the storage form of vectors and read back as such, so no row passes through Python.
+    """
+    numbered = cut(number_terms(terms))
+    size = numbered.count()
+    pairs = F.array_sort(F.collect_list(F.struct("i", F.col("tf").cast("double").alias("tf"))))  # the distinct terms of one table
+    packed = terms.join(numbered, "term").groupBy("table_id").agg(pairs.alias("p"))
+    stored = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("p.i").alias("indices"), F.col("p.tf").alias("values"))
+    kind = packed.schema["table_id"].dataType
+    return cut(packed.select("table_id", stored.alias("features")), StructType([StructField("table_id", kind), StructField("features", VectorUDT())]))
+
+
+def topic_model(terms: DataFrame, k: int, iterations: int = 10, seed: int = 1):
+    """Online LDA over the tables; returns the model and (table_id, topic array). The model itself, topics by terms, is held by the driver."""
+    vectors = count_vectors(terms)
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(vectors)
     topics = model.transform(vectors).select("table_id", vector_to_array("topicDistribution").alias("topic"))
     return model, topics
@@ -48,11 +61,6 @@ def topic_clusters(topics: DataFrame, k: int = 20, seed: int = 1) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(data).transform(data).select("table_id", F.col("prediction").cast("long").alias("cluster"))
 
 
-def word_vectors(lists: DataFrame, column: str, size: int = 16, min_count: int = 2, seed: int = 1):
-    """Skip-gram vectors of entities or headers from their lists per table (a list is one table's row of names)."""
-    return Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol=column, outputCol="__v", numPartitions=4).fit(lists)
-
-
 def train_column_classifier(matrix: DataFrame, labels: DataFrame, iterations: int = 20):
     """Classifier of semantic types on the dense feature arrays; ``labels(dataset_id, label)``."""
     data = matrix.join(labels, "dataset_id").withColumn("raw", array_to_vector("features"))
@@ -65,42 +73,217 @@ def train_column_classifier(matrix: DataFrame, labels: DataFrame, iterations: in
 
 
 def predict_types(model, matrix: DataFrame) -> DataFrame:
+    """The columns of ``matrix`` but the features, with ``pred``."""
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
     data = matrix.withColumn("raw", array_to_vector("features"))
     scored = model.stages[2].transform(model.stages[1].transform(data))
-    return scored.select("dataset_id", F.element_at(names, F.col("prediction").cast("int") + 1).alias("pred"))
+    return scored.select(*[c for c in matrix.columns if c != "features"], F.element_at(names, F.col("prediction").cast("int") + 1).alias("pred"))
 
 
-def permute_group(matrix: DataFrame, positions: list[int], seed: int) -> DataFrame:
-    """Exchange the features at ``positions`` between columns by a random permutation of the rows."""
-    base = position(matrix.withColumn("__o", S.seeded_order(seed, "dataset_id")), [], ["__o", "dataset_id"], "__p")
-    plain = position(matrix.select("dataset_id", F.col("features").alias("other")), [], ["dataset_id"], "__p").drop("dataset_id")
-    taken = F.array(*[F.lit(p) for p in positions])
-    mixed = F.transform("features", lambda x, i: F.when(F.array_contains(taken, i), F.element_at("other", i + 1)).otherwise(x))
-    return base.join(plain, "__p").select("dataset_id", mixed.alias("features"))
+WALKS = 200  # a number outside the range walks on; three quarters do at most, so none is left after these
+
+
+def shuffled_number(number: Column, seed: Column, size: int) -> Column:
+    """A seeded bijection of 0 .. ``size`` - 1: a Feistel network on the next power of four, walked until it is back in the range."""
+    half = 1
+    while 4**half < size:
+        half += 1
+    base = 2**half
+
+    def network(x: Column) -> Column:
+        left, right = F.floor(x / base), x % base
+        for i in range(4):
+            left, right = right, (left + F.pmod(F.xxhash64(right, seed, F.lit(i)), F.lit(base))) % base
+        return left * base + right
+
+    first = network(number)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < size, x).otherwise(network(x)))
+
+
+def permute_groups(matrix: DataFrame, groups: dict[str, list[int]], seeds: list[int], fill: float = 0.0) -> DataFrame:
+    """(grp, seed, dataset_id, features) for each feature group and seed: the group's features come from the same column of another table.
+
+    ``matrix(dataset_id, table_id, col_idx, features)``. Tables are numbered once; the other table of a seed is a bijection of the numbers. A table without that column
+    gives ``fill``.
+    """
+    tables = cut(position(matrix.select("table_id").distinct(), [], ["table_id"], "at").withColumn("at", F.col("at") - 1))
+    size = tables.count()
+    drawn = tables.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    drawn = drawn.withColumn("to", shuffled_number(F.col("at"), F.col("seed"), size)).select("table_id", "seed", "to")
+    other = drawn.join(tables.withColumnRenamed("table_id", "other"), F.col("to") == F.col("at")).select("table_id", "seed", "other")
+    theirs = matrix.select(F.col("table_id").alias("other"), "col_idx", F.col("features").alias("theirs"))
+    both = matrix.join(other, "table_id").join(theirs, ["other", "col_idx"], "left")
+    named = F.array(*[F.struct(F.lit(g).alias("grp"), F.array(*[F.lit(p) for p in at]).alias("places")) for g, at in groups.items()])
+    each = both.select("dataset_id", "seed", "features", "theirs", F.inline(named))
+    mixed = F.transform("features", lambda x, i: F.when(F.array_contains("places", i), F.coalesce(F.element_at("theirs", i + 1), F.lit(fill))).otherwise(x))
+    return each.select("grp", "seed", "dataset_id", mixed.alias("features"))
 
 
 def permutation_importance(model, matrix: DataFrame, gold: DataFrame, groups: dict[str, list[int]], seeds: list[int]) -> DataFrame:
-    """Relative loss of macro F1 in percent after permuting each feature group, averaged over the seeds.
+    """(grp, seed, metric, loss_pct): relative loss of F1 in percent, macro and weighted, after exchanging a feature group between tables.
 
-    All permuted copies are scored in one frame keyed by (group, seed).
+    ``matrix(dataset_id, table_id, col_idx, features)`` holds the columns of held-out tables. All runs are scored in one frame.
     """
     truth = gold.select("dataset_id", F.col("semantic_type").alias("truth"))
+    plain = matrix.select(F.lit("").alias("grp"), F.lit(0).alias("seed"), "dataset_id", "features")
+    runs = predict_types(model, plain.unionByName(permute_groups(matrix, groups, seeds))).join(truth, "dataset_id")
+    f1 = cut(classification_report(runs, True, ("grp", "seed")).where("cls in ('macro avg', 'weighted avg')").select("grp", "seed", F.col("cls").alias("metric"), "f1"))
+    base = f1.where("grp = ''").select("metric", F.col("f1").alias("base"))
+    return f1.where("grp <> ''").join(base, "metric").select("grp", "seed", "metric", (100 * (F.col("base") - F.col("f1")) / F.col("base")).alias("loss_pct"))
+
+
+# --- many small fits in one job ---------------------------------------------------------------------
+
+FIT_ROWS = 20_000  # training columns of a fit, those of the least digest
+
+
+def training_sets(labeled: DataFrame, generated: DataFrame) -> DataFrame:
+    """(run_id, variant, dataset_id, label): what each set-up trains on.
+
+    ``labeled(run_id, dataset_id, semantic_type)``; ``generated(run_id, dataset_id, label)``, which may also cover labeled columns. Variants: ``labeled`` alone; ``overwrite``, where a generated
+    label replaces a known one; ``keep_gold``, where it does not.
+    """
+    gold = labeled.select("run_id", "dataset_id", F.col("semantic_type").alias("gold"))
+    both = gold.join(generated.select("run_id", "dataset_id", "label"), ["run_id", "dataset_id"], "full")
+    kinds = {"labeled": F.col("gold"), "overwrite": F.coalesce("label", "gold"), "keep_gold": F.coalesce("gold", "label")}
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), c.alias("label")) for v, c in kinds.items()])
+    return both.withColumn("each", each).select("run_id", "dataset_id", F.inline("each")).where("label IS NOT NULL").select("run_id", "variant", "dataset_id", "label")
+
+
+def _fit(rate: float, steps: int):
+    """Softmax regression on standardised features, by accelerated gradient steps from zero."""
 
-    def judged(m, group, seed):
-        return predict_types(model, m).join(truth, "dataset_id").select(F.lit(group).alias("grp"), F.lit(seed).alias("seed"), "truth", "pred")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("dataset_id")
+        names, y = np.unique(rows.column("label").to_pylist(), return_inverse=True)
+        x = np.array(rows.column("features").to_pylist(), float)
+        mean, std = x.mean(axis=0), x.std(axis=0)
+        std[std == 0] = 1
+        z = np.c_[(x - mean) / std, np.ones(len(x))]
+        target = np.eye(len(names))[y]
+        bound = 0.5 * np.linalg.norm(z, 2) ** 2 / len(z) + rate
+        w = ahead = np.zeros((z.shape[1], len(names)))
+        for t in range(steps):
+            s = z @ ahead
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            new = ahead - (z.T @ (p - target) / len(z) + rate * ahead) / bound
+            w, ahead = new, new + t / (t + 3) * (new - w)
+        weights = w[:-1] / std[:, None]
+        bias = w[-1] - mean @ weights
+        n = len(names)
+        return pa.table({
+            "run_id": pa.array(rows.column("run_id").to_pylist()[:1] * n, pa.int32()), "variant": pa.array(rows.column("variant").to_pylist()[:1] * n, pa.string()),
+            "pred": pa.array(names.tolist(), pa.string()), "weights": pa.array(weights.T.tolist(), pa.list_(pa.float64())), "bias": pa.array(bias.tolist(), pa.float64()),
+        })
 
-    m = matrix.select("dataset_id", "features")
-    runs = judged(m, "none", 0)
-    for group, positions in groups.items():
-        for seed in seeds:
-            runs = runs.unionByName(judged(permute_group(m, positions, seed), group, seed))
-    f1 = classification_report(runs, True, ("grp", "seed")).where("cls = 'macro avg'").select("grp", "seed", "f1")
-    base = f1.where("grp = 'none'").select(F.col("f1").alias("base"))
-    return f1.where("grp <> 'none'").crossJoin(base).groupBy("grp").agg(F.avg(100 * (F.col("base") - F.col("f1")) / F.col("base")).alias("loss_pct"))  # one row
+    return run
 
 
-def nearest_words(model, word: str, n: int) -> DataFrame:
-    return model.findSynonyms(word, n)
+def fit_grid(sets: DataFrame, matrix: DataFrame, rate: float = 0.01, steps: int = 200, rows: int = FIT_ROWS) -> DataFrame:
+    """(run_id, variant, pred, weights, bias): a classifier for each (run_id, variant) of ``training_sets``, fitted in one job, each on ``rows`` columns at most."""
+    data = sets.join(matrix.select("dataset_id", "features"), "dataset_id").withColumn("__o", F.md5("dataset_id"))
+    kept = top(data, ["run_id", "variant"], [F.col("__o"), F.col("dataset_id")], rows, "__r").drop("__o", "__r")
+    shape = "run_id int, variant string, pred string, weights array<double>, bias double"
+    return kept.withColumn("run_id", F.col("run_id").cast("int")).groupBy("run_id", "variant").applyInArrow(lambda t: _fit(rate, steps)(t), shape)
 
 
+def predict_grid(models: DataFrame, columns: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(run_id, variant, dataset_id, pred) for ``columns(run_id, dataset_id)`` by the models of their run; ties go to the first name."""
+    data = columns.select(F.col("run_id").cast("int"), "dataset_id").join(matrix.select("dataset_id", "features"), "dataset_id")
+    scored = data.join(models, "run_id").withColumn("score", F.round(V.dot("features", "weights") + F.col("bias"), 9))
+    best = scored.groupBy("run_id", "variant", "dataset_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "pred")).alias("m"))
+    return best.select("run_id", "variant", "dataset_id", "m.pred")
+
+
+# --- vectors of headers -----------------------------------------------------------------------------
+
+
+def header_pairs(headers: DataFrame) -> DataFrame:
+    """(h1, h2, n): in how many tables two different headers stand together; ``headers(table_id, header)``. Tables of the same headers are one class."""
+    packed = headers.groupBy("table_id").agg(F.array_sort(F.collect_set("header")).alias("hs"))  # the headers of one table
+    classes = packed.groupBy("hs").agg(F.count(F.lit(1)).alias("n"))
+    a = classes.select("hs", "n", F.explode("hs").alias("h1"))
+    return a.select("h1", F.explode("hs").alias("h2"), "n").where("h1 <> h2").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+
+
+def shifted_information(pairs: DataFrame, shift: float = 1.0) -> DataFrame:
+    """(h1, h2, w): the positive pointwise mutual information of the pairs less ln ``shift``; pairs without any drop out."""
+    one = pairs.groupBy("h1").agg(F.sum("n").alias("n1"))
+    total = pairs.agg(F.sum("n").alias("total"))
+    w = F.log(F.col("n") * F.col("total") / (F.col("n1") * F.col("n2") * F.lit(shift)))
+    joined = pairs.join(one, "h1").join(one.select(F.col("h1").alias("h2"), F.col("n1").alias("n2")), "h2").crossJoin(F.broadcast(total))  # one row
+    return joined.select("h1", "h2", w.alias("w")).where("w > 0")
+
+
+def _gram(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of the outer products of ``v``: ``size`` by ``size`` numbers."""
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(size) for j in range(i, size)])
+    sums = rows.select("v", F.inline(places)).groupBy("i", "j").agg(F.sum(F.col("v")[F.col("i")] * F.col("v")[F.col("j")]).alias("s")).collect()
+    g = np.zeros((size, size))
+    for r in sums:
+        g[r.i, r.j] = g[r.j, r.i] = r.s
+    return g
+
+
+def _turned(rows: DataFrame, m: np.ndarray) -> DataFrame:
+    """Each ``v`` times the small matrix ``m``."""
+    columns = [F.array(*[F.lit(float(x)) for x in m[:, j]]) for j in range(m.shape[1])]
+    return rows.select("h", F.array(*[V.dot("v", c) for c in columns]).alias("v"))
+
+
+def header_vectors(weights: DataFrame, size: int = 16, rounds: int = 4, seed: int = 1) -> DataFrame:
+    """(h, v): vectors of headers whose products are close to the symmetric sparse ``weights(h1, h2, w)``.
+
+    Randomised block power iteration: seeded random rows, then in each round the sparse matrix is applied by a join and a sum, and the block is made
+    orthogonal by its Gram matrix. Only matrices of ``size`` by ``size`` reach the driver.
+    """
+    weights = cut(weights)
+    names = weights.select(F.col("h1").alias("h")).distinct()
+    size = min(size, names.count())
+    if not size:
+        return names.withColumn("v", F.array().cast("array<double>"))
+    digits = lambda i, at: (F.conv(F.substring(S.seeded_order(seed, "h", F.lit(i)), at, 10), 16, 10).cast("double") + 1) / float(16**10)
+    normal = [F.sqrt(-2 * F.log(digits(i, 1))) * F.cos(2 * np.pi * digits(i, 11)) for i in range(size)]
+    block = names.select("h", F.array(*normal).alias("v"))
+
+    def applied(rows: DataFrame) -> DataFrame:
+        parts = weights.join(rows.withColumnRenamed("h", "h2"), "h2")
+        return cut(parts.groupBy(F.col("h1").alias("h")).agg(F.array(*[F.sum(F.col("w") * F.col("v")[i]) for i in range(size)]).alias("v")))
+
+    for _ in range(rounds):
+        block = applied(block)
+        values, turn = np.linalg.eigh(_gram(block, size))
+        keep = values > 1e-12 * values.max()
+        size = int(keep.sum())
+        block = cut(_turned(block, turn[:, keep] / np.sqrt(values[keep])))
+    image = applied(block).withColumnRenamed("v", "mv")
+    both = block.join(image, "h").select(F.concat("v", "mv").alias("v"))
+    inner = _gram(both, 2 * size)[:size, size:]
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    return _turned(block, turn * np.sqrt(np.abs(values)))
+
+
+def nearest_headers(vectors: DataFrame, seeds: DataFrame, n: int, block: int = 1000) -> DataFrame:
+    """(seed, header, sim, rank): the ``n`` headers most like each ``seeds(seed)`` by cosine. Seeds meet blocks of headers."""
+    units = vectors.where(V.norm("v") > 0).select("h", V.unit("v").alias("v"))
+    units = cut(units)
+    blocks = max(1, -(-units.count() // block))
+    asked = seeds.select("seed").distinct().join(units.select(F.col("h").alias("seed"), F.col("v").alias("sv")), "seed")
+    asked = asked.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = asked.join(units.withColumn("b", F.pmod(F.xxhash64("h"), F.lit(blocks))), "b").where("h <> seed")
+    scored = met.select("seed", F.col("h").alias("header"), F.round(V.dot("sv", "v"), 9).alias("sim"))
+    return top(scored, ["seed"], [F.desc("sim"), F.col("header")], n)
+
+
+def header_retrieval(vectors: DataFrame, headers: DataFrame, n: int = 1000) -> DataFrame:
+    """(query_id, rank, rel): for each table of more than one header the nearest headers of its first, relevant where the table has them.
+
+    ``headers(table_id, col_idx, header)``. Tables whose first header has no vector get one irrelevant row, so that they count with 0.
+    """
+    packed = headers.groupBy("table_id").agg(F.min(F.struct("col_idx", "header")).alias("f"), F.collect_set("header").alias("hs")).where(F.size("hs") > 1)
+    tables = packed.select(F.col("table_id").alias("query_id"), F.col("f.header").alias("seed"), "hs")
+    near = nearest_headers(vectors, tables, n)
+    found = tables.join(near, "seed", "left")
+    rel = F.coalesce(F.array_contains("hs", F.col("header")), F.lit(False)).cast("int")
+    return found.select("query_id", F.coalesce("rank", F.lit(1)).alias("rank"), rel.alias("rel"))

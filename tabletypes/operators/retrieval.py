@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import top
+from ..plans.session import cut
+from .topdocs import best_candidates
 
 
 def postings(docs: DataFrame, stop: list[str]) -> DataFrame:
@@ -23,16 +25,21 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
 
 
-def bm25(queries: DataFrame, post: DataFrame, n: int = 100, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Best ``n`` documents per query; ``queries(query_id, term)`` holds analysed terms, each once."""
+def bm25_weights(terms: DataFrame, post: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc_id, term, w): what a term adds to the score of a document, for the given ``terms(term)``."""
     lengths = doc_lengths(post)
     whole = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    asked = queries.join(term_stats(post), "term").crossJoin(F.broadcast(whole))  # one row
+    asked = terms.select("term").distinct()
+    stats = term_stats(post).join(asked, "term", "left_semi").crossJoin(F.broadcast(whole))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.select("query_id", "term", idf.alias("idf"), "avg_len")
-    hits = post.join(weighted, "term").join(lengths, "doc_id")
+    hits = post.join(stats.select("term", idf.alias("idf"), "avg_len"), "term").join(lengths, "doc_id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return hits.select("doc_id", "term", part.alias("w"))
+
+
+def bm25(queries: DataFrame, post: DataFrame, n: int = 100, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Best ``n`` documents per query; ``queries(query_id, term)`` holds analysed terms, each once."""
+    scored = best_candidates(queries.select("query_id", "term", F.lit(1.0).alias("q")), bm25_weights(queries, post, k1, b), n)
     return top(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], n)
 
 
@@ -129,16 +136,17 @@ def p_terms(asked: DataFrame, pairs: DataFrame, freq: DataFrame, totals: DataFra
     """exp of the summed log smoothed term probabilities per (key, cand); 0 where nothing contributes.
 
     ``asked(key, term)``; ``pairs(key, cand)``; ``freq(entity, term, tf)``; ``totals(term, ctf)``.
-    Terms that neither the entity nor the collection has count nothing.
+    Terms that the collection lacks count nothing. A term that the entity lacks has a closed form, summed once per key; only
+    common terms are joined.
     """
     coll = totals.agg(F.sum("ctf").alias("coll"))
     lens = freq.groupBy(F.col("entity").alias("cand")).agg(F.sum("tf").alias("len"))
-    q = asked.join(totals, "term", "left").crossJoin(F.broadcast(coll))  # one row
-    q = q.select("key", "term", (F.coalesce("ctf", F.lit(0)) / F.col("coll")).alias("pc"))
-    rows = pairs.join(q, "key").join(lens, "cand", "left").join(freq.select(F.col("entity").alias("cand"), "term", "tf"), ["cand", "term"], "left")
-    p = (F.coalesce("tf", F.lit(0)) + F.lit(mu) * F.col("pc")) / (F.coalesce("len", F.lit(0)) + F.lit(mu))
-    s = rows.groupBy("key", "cand").agg(F.sum(F.when(p > 0, F.log(p)).otherwise(0.0)).alias("s"))
-    return s.select("key", "cand", F.when(F.col("s") != 0, F.exp("s")).otherwise(0.0).alias("p"))
+    q = cut(asked.join(totals, "term").crossJoin(F.broadcast(coll)).select("key", "term", (F.lit(mu) * F.col("ctf") / F.col("coll")).alias("mpc")))  # one row
+    base = q.groupBy("key").agg(F.sum(F.log("mpc")).alias("absent"), F.count(F.lit(1)).alias("m"))
+    gain = q.join(freq, "term").groupBy("key", F.col("entity").alias("cand")).agg(F.sum(F.log((F.col("tf") + F.col("mpc")) / F.col("mpc"))).alias("gain"))
+    s = pairs.join(base, "key").join(lens, "cand", "left").join(gain, ["key", "cand"], "left")
+    total = F.col("absent") - F.col("m") * F.log(F.coalesce("len", F.lit(0)) + F.lit(mu)) + F.coalesce("gain", F.lit(0.0))
+    return s.select("key", "cand", F.when(total != 0, F.exp(total)).otherwise(0.0).alias("p"))
 
 
 LEAST = 1e-6
@@ -194,18 +202,47 @@ def rank_rows(
 # --- schema augmentation ---------------------------------------------------------------------------
 
 
-def tables_by_caption(captions: DataFrame, stop: list[str], n: int) -> DataFrame:
-    """Best ``n`` tables per distinct caption by BM25, ``captions(t_id, caption)``.
+def tables_by_text(asked: DataFrame, texts: DataFrame, stop: list[str], n: int) -> DataFrame:
+    """(text, t_id, score): the best ``n`` tables of each distinct ``asked(text)`` by BM25; ``texts(t_id, text)``.
 
-    Equal captions are one document, and at most ``n`` tables of each can be among the best.
+    Equal texts are one document, and at most ``n`` tables of each can be among the best.
     """
-    docs = captions.select(F.col("caption").alias("doc_id"), F.col("caption").alias("text")).distinct()
-    post = postings(docs, stop)
-    found = bm25(post.select(F.col("doc_id").alias("query_id"), "term"), post, n).select("query_id", F.col("doc_id").alias("caption"), "score")
-    first = top(captions, ["caption"], [F.col("t_id")], n, "__r").drop("__r")
-    wide = found.join(first, "caption")
+    docs = texts.select(F.col("text").alias("doc_id"), "text").distinct()
+    queries = asked.select(F.col("text").alias("doc_id"), "text").distinct()
+    found = bm25(postings(queries, stop).select(F.col("doc_id").alias("query_id"), "term"), postings(docs, stop), n)
+    first = top(texts, ["text"], [F.col("t_id")], n, "__r").drop("__r")
+    wide = found.select("query_id", F.col("doc_id").alias("text"), "score").join(first, "text")
     best = top(wide, ["query_id"], [F.desc(F.round("score", 9)), F.col("t_id")], n)
-    return best.select(F.col("query_id").alias("caption"), "t_id", "score")
+    return best.select(F.col("query_id").alias("text"), "t_id", "score")
+
+
+def tables_by_caption(captions: DataFrame, stop: list[str], n: int) -> DataFrame:
+    """Best ``n`` tables per distinct caption, ``captions(t_id, caption)``."""
+    texts = captions.withColumnRenamed("caption", "text")
+    return tables_by_text(texts, texts, stop, n).withColumnRenamed("text", "caption")
+
+
+def tables_by_heading(seeds: DataFrame, headers: DataFrame, stop: list[str], n: int) -> DataFrame:
+    """(query_id, t_id): the best ``n`` tables for each seed header by their headers' text; ``seeds(query_id, header)``, ``headers(t_id, header)``."""
+    texts = headers.groupBy("t_id").agg(F.concat_ws(" ", F.array_sort(F.collect_set("header"))).alias("text"))  # a table's headers
+    found = tables_by_text(seeds.select(F.col("header").alias("text")), cut(texts), stop, n)
+    return seeds.join(found.withColumnRenamed("text", "header"), "header").select("query_id", "t_id").distinct()
+
+
+def own_caption_score(captions: DataFrame, stop: list[str], smoothing: str = "dirichlet", param: float = 50) -> DataFrame:
+    """(t_id, score): log probability of each table's caption under its own smoothed model; tables of one caption share it."""
+    classes = captions.groupBy("caption").agg(F.min("t_id").alias("doc_id"), F.count(F.lit(1)).alias("many"))
+    post = cut(postings(classes.select("doc_id", F.col("caption").alias("text")), stop).join(classes.select("doc_id", "many"), "doc_id"))
+    # the collection holds the caption of every table
+    whole = post.groupBy("term").agg(F.sum(F.col("tf") * F.col("many")).alias("ctf"))
+    total = post.agg(F.sum(F.col("tf") * F.col("many")).alias("coll"))
+    lengths = doc_lengths(post)
+    p = F.lit(float(param))
+    pc = F.col("ctf") / F.col("coll")
+    prob = (F.col("tf") + p * pc) / (F.col("len") + p) if smoothing == "dirichlet" else (1 - p) * F.col("tf") / F.col("len") + p * pc
+    scored = post.join(whole, "term").join(lengths, "doc_id").crossJoin(F.broadcast(total))  # one row
+    scored = scored.groupBy("doc_id").agg(F.sum(F.log(prob)).alias("score")).join(classes.select("doc_id", "caption"), "doc_id")
+    return captions.join(scored.select("caption", "score"), "caption").select("t_id", "score")
 
 
 def tables_by_entity(asked: DataFrame, tables_of: DataFrame, n: int) -> DataFrame:
@@ -224,7 +261,7 @@ def rank_columns(related: DataFrame, headers: DataFrame, seeds: DataFrame, entit
     """Header score: sum over related tables that have it of p(T) / number of the table's headers.
 
     p(T) is the product of max(1e-6, .) of the share of the query's entities in T, the share of the seed
-    headers in T and exp(lm). ``lm(query_id, t_id, score)``.
+    headers in T and exp(lm). ``lm(t_id, score)``.
     """
     rel = related.select("query_id", "t_id").distinct()
     n_e = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_e"))
@@ -232,7 +269,7 @@ def rank_columns(related: DataFrame, headers: DataFrame, seeds: DataFrame, entit
     e = rel.join(asked, "query_id").join(entities, ["t_id", "entity"], "left_semi").groupBy("query_id", "t_id").agg(F.count(F.lit(1)).alias("k_e"))
     s = rel.join(seeds, "query_id").join(headers, ["t_id", "header"], "left_semi").groupBy("query_id", "t_id").agg(F.count(F.lit(1)).alias("k_s"))
     size = headers.groupBy("t_id").agg(F.count(F.lit(1)).alias("n_h"))
-    t = rel.join(n_e, "query_id").join(n_s, "query_id").join(e, ["query_id", "t_id"], "left").join(s, ["query_id", "t_id"], "left").join(lm, ["query_id", "t_id"], "left").join(size, "t_id")
+    t = rel.join(n_e, "query_id").join(n_s, "query_id").join(e, ["query_id", "t_id"], "left").join(s, ["query_id", "t_id"], "left").join(lm, "t_id", "left").join(size, "t_id")
 
     def floor(x):
         return F.greatest(F.lit(LEAST), F.coalesce(x, F.lit(0.0)))
@@ -259,11 +296,9 @@ def text_neighbours(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     ``queries(query_id, term, w)``; ``docs(doc_id, term, w)``.
     """
-    d = docs.withColumnRenamed("w", "w2")
-    dots = queries.join(d, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
-    dist = F.sqrt(F.greatest(F.lit(0.0), F.round(2 - 2 * F.col("dot"), 9)))
-    scored = dots.where(F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id", dist.alias("dist"))
-    return top(scored, ["query_id"], [F.col("dist"), F.col("doc_id")], k)
+    dots = best_candidates(queries.select("query_id", "term", F.col("w").alias("q")), docs, k, lambda pairs: pairs.where("query_id <> doc_id"))
+    dist = F.sqrt(F.greatest(F.lit(0.0), F.round(2 - 2 * F.col("score"), 9)))
+    return top(dots.select("query_id", "doc_id", dist.alias("dist")), ["query_id"], [F.col("dist"), F.col("doc_id")], k)
 
 
 def knn_headers(neighbours: DataFrame, headers: DataFrame, seeds: DataFrame) -> DataFrame:

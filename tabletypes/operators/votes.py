@@ -99,6 +99,15 @@ def ablation(votes: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return majority_vote(runs, ("run_id", "dataset_id"))
 
 
+def label_runs(labeled: DataFrame, generated: DataFrame) -> DataFrame:
+    """(run_id, dataset_id, label) of three runs: generated labels replace known ones (``overwrite``), only fill what is not known (``no_overwrite``), or are left out
+    (``no_steering``). ``labeled(dataset_id, semantic_type)``; ``generated(dataset_id, label)``."""
+    both = labeled.select("dataset_id", "semantic_type").join(generated.select("dataset_id", "label"), "dataset_id", "full")
+    runs = {"overwrite": F.coalesce("label", "semantic_type"), "no_overwrite": F.coalesce("semantic_type", "label"), "no_steering": F.col("semantic_type")}
+    each = F.array(*[F.struct(F.lit(run).alias("run_id"), label.alias("run_label")) for run, label in runs.items()])
+    return both.withColumn("each", each).select("dataset_id", F.inline("each")).where("run_label IS NOT NULL").select("run_id", "dataset_id", F.col("run_label").alias("label"))
+
+
 def same_size_sample(gold: DataFrame, generated: DataFrame, seed: int = 0) -> DataFrame:
     """Gold labels of as many columns as were generated."""
     n = generated.select("dataset_id").distinct().agg(F.count(F.lit(1)).alias("__n"))

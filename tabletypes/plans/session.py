@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,8 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and continue from the written rows.
+def cut(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and continue from the written rows, read as ``schema`` if given.
 
     Shared storage survives the loss of executors. A written table rather than ``checkpoint()``, because
     the optimizer then sees its true size and no constraints inherited from the cut plan, which would
@@ -51,4 +52,4 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)

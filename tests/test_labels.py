@@ -54,7 +54,7 @@ def test_average_linkage_equals_brute_force(spark, t):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, v array<double>")
     got = {}
-    for r in K.average_linkage(df, "id", "v", 6, t).collect():
+    for r in K.average_linkage(df, "id", "v", t).collect():
         got.setdefault(r.cluster, []).append(r.id)
     assert sorted(sorted(c) for c in got.values()) == brute_linkage(x, t)
 
@@ -66,10 +66,39 @@ def test_cosine_pairs_equal_brute_force(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, v array<double>")
     for t in (0.2, 0.9):
-        got = {(r.a, r.b) for r in K.cosine_pairs(df, "id", "v", 5, t).collect()}
+        got = {(r.a, r.b) for r in K.cosine_pairs(df, "id", "v", t).collect()}
         assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= t}
 
 
+def test_pivots_meet_every_near_pair_and_few_others(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(40, 8)) * 4
+    x = np.concatenate([c + 0.05 * rng.normal(size=(30, 8)) for c in centres] + [np.repeat(centres[:1], 40, axis=0)])
+    points = spark.createDataFrame([(f"p{i}", [float(v) for v in row]) for i, row in enumerate(x)], "id string, vec array<double>").cache()
+    d = np.linalg.norm(x[:, None] - x, axis=2)
+    for chunk in (4096, 7):
+        met = K.near_candidates(points, 0.2, chunk).groupBy("cell", "chunk").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("q")).collect()
+        assert sum(r.h for r in met) == len(x) and sum(r.h * r.q for r in met) < len(x) ** 2 / 10
+        rows = K.near_pairs(points, 0.2, chunk).collect()
+        got = {(r.a, r.b) for r in rows}
+        assert len(rows) == len(got) and all(a < b for a, b in got)
+        assert {(f"p{i}", f"p{j}") for i in range(len(x)) for j in range(len(x)) if f"p{i}" < f"p{j}" and d[i, j] <= 0.2} <= got
+    assert K.near_pairs(points.limit(0), 0.2).collect() == [] and K.near_pairs(points.limit(1), 0.2).collect() == []
+
+
+def test_no_two_clusters_are_closer_than_the_cut(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, v array<double>")
+    groups = {}
+    for r in K.average_linkage(df, "id", "v", 0.1).collect():
+        groups.setdefault(r.cluster, []).append(r.id)
+    means = np.array([x[g].mean(axis=0) for g in groups.values()])
+    apart = 1 - means @ means.T
+    assert 1 < len(groups) < 150 and (apart[~np.eye(len(means), dtype=bool)] >= 0.1 - 1e-9).all()
+
+
 def test_overlap_candidates_equal_brute_force(spark):
     rnd = random.Random(5)
     sets = {f"c{i}": {f"v{min(int(rnd.expovariate(0.15)), 40)}" for _ in range(rnd.randint(1, 25))} for i in range(40)}
