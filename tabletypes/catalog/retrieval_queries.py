@@ -145,13 +145,16 @@ _SEED = (
 
 
 # tables of the best captions: distinct captions are the documents
-_CAPTION = (
-    "dc AS (SELECT caption, min(t_id) AS t_id FROM cp GROUP BY 1), dt AS (SELECT caption, term, tf FROM dc JOIN tm USING (t_id)), dl AS (SELECT caption, sum(tf) AS len FROM dt GROUP BY 1), "
-    "ts AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), wh AS (SELECT count(*) AS nd, avg(len) AS al FROM dl), "
-    "bs AS (SELECT q.caption AS qc, d.caption AS dc, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM dt q JOIN dt d USING (term) JOIN ts USING (term) JOIN dl ON dl.caption = d.caption, wh GROUP BY ALL), "
-    "f1 AS (SELECT caption, t_id FROM cp QUALIFY row_number() OVER (PARTITION BY caption ORDER BY t_id) <= 100), "
-    "bc AS (SELECT qc AS caption, t_id, score FROM bs JOIN f1 ON f1.caption = dc QUALIFY row_number() OVER (PARTITION BY qc ORDER BY round(score, 9) DESC, t_id) <= 100)"
-)
+def _caption(n):
+    return (
+        "dc AS (SELECT caption, min(t_id) AS t_id FROM cp GROUP BY 1), dt AS (SELECT caption, term, tf FROM dc JOIN tm USING (t_id)), dl AS (SELECT caption, sum(tf) AS len FROM dt GROUP BY 1), "
+        "ts AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), wh AS (SELECT count(*) AS nd, avg(len) AS al FROM dl), "
+        "bs AS (SELECT q.caption AS qc, d.caption AS dc, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM dt q JOIN dt d USING (term) JOIN ts USING (term) JOIN dl ON dl.caption = d.caption, wh GROUP BY ALL), "
+        f"f1 AS (SELECT caption, t_id FROM cp QUALIFY row_number() OVER (PARTITION BY caption ORDER BY t_id) <= {n}), "
+        f"bc AS (SELECT qc AS caption, t_id, score FROM bs JOIN f1 ON f1.caption = dc QUALIFY row_number() OVER (PARTITION BY qc ORDER BY round(score, 9) DESC, t_id) <= {n})"
+    )
+
+
 # candidates of a table: by its seed's tables, and by its caption's best tables
 _BOTH = (
     "qe AS (SELECT query_id, cand FROM se JOIN ca USING (seed) WHERE cand <> seed), ke AS (SELECT DISTINCT caption, entity AS cand FROM bc JOIN et USING (t_id)), "
@@ -159,9 +162,9 @@ _BOTH = (
 )
 
 
-def caption_tables(caps):
-    """(query_id, t_id): the tables of the best captions of each table."""
-    found = R.tables_by_caption(caps, STOP, 100).select("caption", F.col("t_id").alias("found"))
+def caption_tables(caps, n):
+    """(query_id, t_id): the ``n`` tables of the best captions of each table."""
+    found = R.tables_by_caption(caps, STOP, n).select("caption", F.col("t_id").alias("found"))
     return caps.join(found, "caption").select(F.col("t_id").alias("query_id"), F.col("found").alias("t_id"))
 
 
@@ -171,7 +174,7 @@ def seeds(cells):
 
 @query(
     "r5_row_candidates",
-    f"WITH {EC}, {_TERMS}, {_SEED}, {_CAPTION}, {_BOTH}, a AS (SELECT query_id, count(*) AS n FROM qe GROUP BY 1), c AS (SELECT seed, count(*) FILTER (WHERE cand <> seed) AS n FROM cc GROUP BY 1), "
+    f"WITH {EC}, {_TERMS}, {_SEED}, {_caption(10)}, {_BOTH}, a AS (SELECT query_id, count(*) AS n FROM qe GROUP BY 1), c AS (SELECT seed, count(*) FILTER (WHERE cand <> seed) AS n FROM cc GROUP BY 1), "
     "k AS (SELECT query_id, count(*) AS n FROM qk GROUP BY 1), e AS (SELECT query_id, count(*) AS n FROM qc GROUP BY 1) "
     "SELECT query_id, coalesce(a.n, 0) AS n_entity, c.n AS n_category, k.n AS n_caption, e.n AS n_both FROM se LEFT JOIN a USING (query_id) JOIN c USING (seed) JOIN k USING (query_id) JOIN e USING (query_id)",
 )
@@ -179,7 +182,7 @@ def r5(spark, sf):
     cells = cut(entity_cells(spark, sf))
     caps = cut(captions(spark, sf))
     brands = X.base(spark, sf, "part").select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("entity"), F.col("p_brand").alias("category"))
-    cand = R.row_candidates(seeds(cells), cut(core_tables(cells)), caption_tables(caps), brands)
+    cand = R.row_candidates(seeds(cells), cut(core_tables(cells)), caption_tables(caps, 10), brands)
     per = cand.groupBy("query_id", "cand").agg(*[F.max((F.col("source") == s).cast("int")).alias(s) for s in ("entity", "category", "caption")])
     counts = [F.sum(s).alias(f"n_{s}") for s in ("entity", "category", "caption")]
     return per.groupBy("query_id").agg(*counts, F.count_if((F.col("entity") + F.col("caption")) > 0).alias("n_both"))
@@ -187,7 +190,7 @@ def r5(spark, sf):
 
 @query(
     "r6_rank_rows",
-    f"WITH {EC}, {_TERMS}, {_SEED}, {_CAPTION}, {_BOTH}, nt AS (SELECT entity AS cand, count(*) AS n_e FROM et GROUP BY 1), "
+    f"WITH {EC}, {_TERMS}, {_SEED}, {_caption(10)}, {_BOTH}, nt AS (SELECT entity AS cand, count(*) AS n_e FROM et GROUP BY 1), "
     "pe AS (SELECT seed, b.entity AS cand, 0.5 * count(*) / any_value(n_e) AS pee FROM (SELECT DISTINCT seed FROM se) JOIN et a ON a.entity = seed JOIN et b USING (t_id) JOIN nt ON nt.cand = seed GROUP BY ALL), "
     "ef AS (SELECT entity AS cand, term, sum(tf) AS tf FROM et JOIN tm USING (t_id) GROUP BY ALL), el AS (SELECT cand, sum(tf) AS len FROM ef GROUP BY 1), ct AS (SELECT term, sum(tf) AS ctf FROM tm GROUP BY 1), cl AS (SELECT sum(ctf) AS coll FROM ct), "
     "q2 AS (SELECT query_id, seed, caption, cand FROM qc JOIN se USING (query_id) JOIN cp ON cp.t_id = query_id), ck AS (SELECT DISTINCT caption, cand FROM q2), "
@@ -200,8 +203,9 @@ def r5(spark, sf):
     "pl AS (SELECT header, cand, exp(sum(ln((coalesce(tf, 0) + 0.5 * ctf / coll) / (len + 0.5)))) AS p FROM lk JOIN h1 USING (header) JOIN hc USING (term) JOIN hl USING (cand) LEFT JOIN hx USING (cand, term), hn GROUP BY ALL), "
     "le AS (SELECT lid, cand, sum(0.5 * p + 0.5 / 3 * coalesce(n_le, 0) / n_e) AS ple FROM lc JOIN lh USING (lid) JOIN pl USING (header, cand) JOIN nt USING (cand) LEFT JOIN hf USING (header, cand) GROUP BY ALL), "
     "sc AS (SELECT query_id, cand, ln(greatest(1e-6, coalesce(pee, 0))) + ln(greatest(1e-6, pce)) + ln(greatest(1e-6, ple)) AS score, 100 * coalesce(pee, 0) + pce + 0.5 * ple AS blend "
-    "FROM q3 JOIN pc USING (caption, cand) JOIN le USING (lid, cand) LEFT JOIN pe USING (seed, cand)) "
-    "SELECT query_id, cand, round(score, 5) AS score, round(blend, 5) AS blend, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, cand))::INTEGER AS rank FROM sc QUALIFY rank <= 100",
+    "FROM q3 JOIN pc USING (caption, cand) JOIN le USING (lid, cand) LEFT JOIN pe USING (seed, cand)), "
+    "rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, cand) AS rank FROM sc QUALIFY rank <= 100) "
+    "SELECT query_id, count(*) AS n, first(cand ORDER BY rank) AS best, string_agg(cand, ' ' ORDER BY rank) FILTER (WHERE rank <= 3) AS first_three, round(avg(score), 5) AS score, round(avg(blend), 5) AS blend FROM rr GROUP BY 1",
 )
 def r6(spark, sf):
     cells = cut(entity_cells(spark, sf))
@@ -209,12 +213,15 @@ def r6(spark, sf):
     caps, heads = cut(captions(spark, sf)), cut(headers(cells))
     ct, ht = cut(caption_terms(caps)), cut(header_terms(heads))
     s = cut(seeds(cells))
-    cand = cut(R.row_candidates(s, of, caption_tables(caps)).select("query_id", "cand").distinct())
+    cand = cut(R.row_candidates(s, of, caption_tables(caps, 10)).select("query_id", "cand").distinct())
     ranked = R.rank_rows(
         cand, cut(R.seed_sets(s)), caps.withColumnRenamed("t_id", "query_id"), heads.select(F.col("t_id").alias("query_id"), F.col("header").alias("label")), of,
         cut(E.entity_term_freq(of, ct)), cut(E.collection_term_freq(ct)), cut(E.entity_header_freq(of, heads)), cut(E.entity_term_freq(of, ht)), cut(E.collection_term_freq(ht)), STOP,
     )
-    return ranked.select("query_id", "cand", S.rnd("score", 5).alias("score"), S.rnd("blend", 5).alias("blend"), "rank")
+    # one row per query: a hundred ranked candidates of each of all tables are too many to compare one by one
+    head = F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "cand"))))
+    per = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("cand", "rank").alias("best"), head.alias("h"), S.rnd(F.avg("score"), 5).alias("score"), S.rnd(F.avg("blend"), 5).alias("blend"))
+    return per.select("query_id", "n", "best", F.array_join("h.cand", " ").alias("first_three"), "score", "blend")
 
 
 # related tables of a table: the hundred that share most of its subject entities, those of the best captions, and those of the seed header "part"
@@ -224,21 +231,22 @@ _REL = (
 )
 # every table has the seed header and as many header terms, so all score the same for it
 _ALL = (
-    f"{_REL}, {_CAPTION}, hp AS (SELECT DISTINCT t_id FROM hd ORDER BY t_id LIMIT 100), "
+    f"{_REL}, {_caption(100)}, hp AS (SELECT DISTINCT t_id FROM hd ORDER BY t_id LIMIT 100), "
     "al AS (SELECT query_id, t_id FROM rl UNION SELECT cp.t_id, bc.t_id FROM cp JOIN bc USING (caption) UNION SELECT cp.t_id, hp.t_id FROM cp, hp)"
 )
 
 
 def related_tables(cells, caps, of):
     seed = cells.select(F.col("t_id").alias("query_id")).distinct().withColumn("header", F.lit("part"))
-    parts = [R.tables_by_entity(of.withColumnRenamed("t_id", "query_id"), of, 100), caption_tables(caps), R.tables_by_heading(seed, headers(cells), STOP, 100)]
+    parts = [R.tables_by_entity(of.withColumnRenamed("t_id", "query_id"), of, 100), caption_tables(caps, 100), R.tables_by_heading(seed, headers(cells), STOP, 100)]
     return seed, cut(parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct())
 
 
-@query("r7_tables_by_entity", f"WITH {EC}, {_TERMS}, {_REL} SELECT query_id, t_id FROM rl")
+@query("r7_tables_by_entity", f"WITH {EC}, {_TERMS}, {_REL} SELECT query_id, count(*) AS n, min(t_id) AS first, sum(t_id)::BIGINT AS total FROM rl GROUP BY 1")
 def r7_tables(spark, sf):
     of = cut(core_tables(entity_cells(spark, sf)))
-    return R.tables_by_entity(of.withColumnRenamed("t_id", "query_id"), of, 100)
+    found = R.tables_by_entity(of.withColumnRenamed("t_id", "query_id"), of, 100)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("t_id").alias("first"), F.sum("t_id").alias("total"))
 
 
 @query("r7_column_candidates", f"WITH {EC}, {_TERMS}, {_ALL} SELECT DISTINCT query_id, header FROM al JOIN hd USING (t_id) WHERE header <> 'part'")
@@ -264,6 +272,6 @@ def r7_rank(spark, sf):
     return ranked.withColumn("score", S.rnd("score", 9))
 
 
-@query("r7_tables_by_caption", f"WITH {EC}, {_TERMS}, {_CAPTION} SELECT caption, t_id, round(score, 6) AS score FROM bc")
+@query("r7_tables_by_caption", f"WITH {EC}, {_TERMS}, {_caption(100)} SELECT caption, t_id, round(score, 6) AS score FROM bc")
 def r7_caption(spark, sf):
     return R.tables_by_caption(cut(captions(spark, sf)), STOP, 100).withColumn("score", S.rnd("score"))
