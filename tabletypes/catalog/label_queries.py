@@ -13,6 +13,7 @@ from ..operators import lfs as L
 from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators import votes as V
+from ..operators.values import NUMBER, numeric_histogram, value_table
 from ..plans.session import cut
 from . import fixtures as X
 from .emd_queries import FACTOR, NEAREST, SIDES, emd_cte
@@ -45,8 +46,9 @@ def patterns():
 
 
 def votes_of(spark, sf):
-    cells = X.cells(spark, sf, LF_TYPES)
-    return L.lf_value_overlap(cells, dictionary(spark)).unionByName(L.lf_value_pattern(cells, patterns()))
+    """Both functions on one value table, so the corpus is read once."""
+    table = cut(value_table(X.cells(spark, sf, LF_TYPES), {**L.OVERLAP_MARKS, **L.pattern_marks(patterns())}))
+    return L.overlap_votes(table, dictionary(spark)).unionByName(L.pattern_votes(table, patterns()))
 
 
 _DICT = "dict(sem_type, element) AS (VALUES " + ", ".join(f"('{t}', '{w}')" for t, ws in DICTIONARY.items() for w in ws) + ")"
@@ -364,17 +366,18 @@ REPORT = (
 def flagship(spark, sf):
     gold = X.gold(spark, sf)
     splits = cut(C.split_absolute(gold, 3))
-    cells = X.cells(spark, sf, _FLAG_TYPES)
-    hist = cut(P.value_histogram(C.numeric_cells(cells)))
-    numeric = E.lf_numeric_emd(J.in_split(hist, splits, "unlabeled"), J.in_split(hist, splits, "labeled"), gold, FACTOR)
+    table = cut(value_table(X.cells(spark, sf, _FLAG_TYPES), {**NUMBER, **L.OVERLAP_MARKS, **L.pattern_marks(patterns())}))
+    hist = cut(numeric_histogram(table))
+    unlabeled, labeled = (cut(J.in_split(hist, splits, side)) for side in ("unlabeled", "labeled"))
+    numeric = cut(E.lf_numeric_emd(unlabeled, labeled, gold, FACTOR))
     votes = J.union_results(
         [
-            L.lf_value_overlap(cells, dictionary(spark)),
-            L.lf_value_pattern(cells, patterns()),
+            L.overlap_votes(table, dictionary(spark)),
+            L.pattern_votes(table, patterns()),
             numeric.select("dataset_id", F.lit("numeric_emd").alias("lf"), "label"),
         ]
     )
     labels = V.majority_vote(votes)
-    judged = J.in_split(gold, splits, "unlabeled").join(labels, "dataset_id", "left")
+    judged = cut(J.in_split(gold, splits, "unlabeled").join(labels, "dataset_id", "left"))  # the report reads it several times
     report = M.classification_report(judged.select(F.col("semantic_type").alias("truth"), F.col("label").alias("pred")))
     return report.select("cls", *[S.rnd(c).alias(c) for c in ("precision", "recall", "f1")], "support")

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .values import EXACT, LOWER, Marks, digest, is_null, value_table
 
 
-def _value_counts(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("dataset_id", "value").agg(F.count(F.lit(1)).alias("c"))
+OVERLAP_MARKS = LOWER
+
+
+def pattern_marks(patterns: dict[str, list[str]]) -> Marks:
+    """For each type the number of its patterns that a cell matches."""
+    return {f"hits_{i}": lambda v, ps=ps: S.regex_hits(v, ps) for i, ps in enumerate(patterns.values())}
 
 
 def lf_value_overlap(cells: DataFrame, dictionary: DataFrame, share: float = 0.2) -> DataFrame:
@@ -17,31 +22,33 @@ def lf_value_overlap(cells: DataFrame, dictionary: DataFrame, share: float = 0.2
 
     Cells count with repeats and null cells count in the size. At least two hits are needed.
     """
-    counts = _value_counts(cells)
-    size = counts.groupBy("dataset_id").agg(F.sum("c").alias("n"))
-    words = dictionary.select("sem_type", F.lower("element").alias("w")).distinct()
-    hits = counts.join(words, F.lower("value") == F.col("w")).groupBy("dataset_id", "sem_type").agg(F.sum("c").alias("hits"))
+    return overlap_votes(value_table(cells, OVERLAP_MARKS), dictionary, share)
+
+
+def overlap_votes(table: DataFrame, dictionary: DataFrame, share: float = 0.2) -> DataFrame:
+    """``lf_value_overlap`` on a value table with ``OVERLAP_MARKS``."""
+    size = table.groupBy("dataset_id").agg(F.sum("c").alias("n"))
+    low1, low2 = digest(F.lower("element"))
+    words = dictionary.where(F.col("element").isNotNull()).select("sem_type", low1.alias("low1"), low2.alias("low2")).distinct()
+    hits = table.where(~is_null()).join(words, ["low1", "low2"]).groupBy("dataset_id", "sem_type").agg(F.sum("c").alias("hits"))
     need = F.lit(share) * F.col("n")
     voted = hits.join(size, "dataset_id").where(F.col("hits") >= F.when(need <= 1, F.lit(2.0)).otherwise(need))
     return voted.select("dataset_id", F.concat(F.lit("value_overlap:"), "sem_type").alias("lf"), F.col("sem_type").alias("label"))
 
 
 def lf_value_pattern(cells: DataFrame, patterns: dict[str, list[str]], share: float = 0.2) -> DataFrame:
-    """Vote for a type if enough cells match its patterns; a cell counts once per pattern it matches.
+    """Vote for a type if enough cells match its patterns; a cell counts once per pattern it matches."""
+    return pattern_votes(value_table(cells, pattern_marks(patterns)), patterns, share)
 
-    Every different value is tested once, against all patterns in one pass.
-    """
-    counts = _value_counts(cells)
-    v = F.coalesce("value", F.lit("nan"))
-    tested = F.array(*[F.struct(F.lit(t).alias("sem_type"), S.regex_hits(v, ps).alias("k")) for t, ps in patterns.items()])
-    hits = (
-        counts.select("dataset_id", "c", F.inline(F.filter(tested, lambda x: x["k"] > 0)))
-        .groupBy("dataset_id", "sem_type")
-        .agg(F.sum(F.col("c") * F.col("k")).alias("hits"))
-    )
-    size = counts.groupBy("dataset_id").agg(F.sum("c").alias("n"))
+
+def pattern_votes(table: DataFrame, patterns: dict[str, list[str]], share: float = 0.2) -> DataFrame:
+    """``lf_value_pattern`` on a value table with the marks of the patterns: one aggregation, no row per type. Null cells are tested as ``nan``."""
+    marks = dict(zip(pattern_marks(patterns), patterns.items(), strict=True))
+    hits = {k: F.when(is_null(), S.regex_hits(F.lit("nan"), ps)).otherwise(F.col(k)) for k, (_, ps) in marks.items()}
+    sums = table.groupBy("dataset_id").agg(F.sum("c").alias("n"), *[F.sum(F.col("c") * h).alias(k) for k, h in hits.items()])
+    tested = F.array(*[F.struct(F.lit(t).alias("sem_type"), F.col(k).alias("hits")) for k, (t, _) in marks.items()])
     need = F.floor(F.lit(share) * F.col("n"))
-    voted = hits.join(size, "dataset_id").where(F.col("hits") >= F.when(need <= 1, F.lit(2)).otherwise(need))
+    voted = sums.select("dataset_id", "n", F.inline(tested)).where(F.col("hits") >= F.when(need <= 1, F.lit(2)).otherwise(need))
     return voted.select("dataset_id", F.concat(F.lit("value_pattern:"), "sem_type").alias("lf"), F.col("sem_type").alias("label"))
 
 
@@ -89,8 +96,9 @@ def lf_known_labels(columns: DataFrame, generated: DataFrame) -> DataFrame:
 def lf_kb_types(cells: DataFrame, kb: DataFrame, types: DataFrame, top_n: int = 3, least: float = 0.9) -> DataFrame:
     """Vote from a knowledge-base table ``kb(entity, type)``: the ``top_n`` types of a column's cells, mapped to
     the vocabulary by name; the most frequent type that maps wins."""
-    counts = _value_counts(cells.where(F.col("value").isNotNull()))
-    typed = counts.join(kb.select(F.col("entity").alias("value"), "type"), "value").groupBy("dataset_id", "type").agg(F.sum("c").alias("k"))
+    counts = value_table(cells.where(F.col("value").isNotNull()), EXACT)
+    v1, v2 = digest(F.col("entity"))
+    typed = counts.join(kb.where(F.col("entity").isNotNull()).select(v1.alias("v1"), v2.alias("v2"), "type"), ["v1", "v2"]).groupBy("dataset_id", "type").agg(F.sum("c").alias("k"))
     w = Window.partitionBy("dataset_id").orderBy(F.desc("k"), "type")
     first = typed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_n)
     names = first.select("type").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.ordered import HOT_ROWS, running, weighted_quantiles
+from .values import value_table
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -220,11 +221,11 @@ def null_features(cells: DataFrame) -> DataFrame:
 def text_stats(cells: DataFrame) -> DataFrame:
     """Entropy, uniqueness, shares of cells with digits and letters, and counts of digits, letters, specials and words.
 
-    Values are counted first, so each different value is scanned once.
+    Works on the value table: short values are counted first and scanned once, long ones never leave the scan.
     """
-    freq = cells.where(F.col("value").isNotNull()).groupBy("dataset_id", "value").agg(F.count(F.lit(1)).alias("f"))
-    k = S.char_class_counts("value")
-    per_value = freq.select("dataset_id", "f", k["num"].alias("num"), k["text"].alias("text"), k["spec"].alias("spec"), (k["space"] + 1).alias("word"))
+    marks = {k: lambda v, k=k: S.char_class_counts(v)[k] for k in ("num", "text", "spec", "space")}
+    table = value_table(cells.where(F.col("value").isNotNull()), marks)
+    per_value = table.select("dataset_id", F.col("c").alias("f"), "num", "text", "spec", (F.col("space") + 1).alias("word"))
     f = F.col("f")
     agg = per_value.groupBy("dataset_id").agg(
         F.sum(f).alias("n"),
@@ -254,15 +255,10 @@ def text_stats(cells: DataFrame) -> DataFrame:
 def storage_types(columns: DataFrame, cells: DataFrame) -> DataFrame:
     """Storage type per column: by the end of the header, else by weighted votes of the cells, first type on ties."""
     named = columns.withColumn("storage", S.storage_from_header("header"))
-    freq = cells.where(F.col("value").isNotNull() & (F.col("value") != "")).groupBy("dataset_id", "value").agg(
-        F.count(F.lit(1)).alias("f")
-    )
-    votes = S.storage_votes("value")
-    scores = freq.groupBy("dataset_id").agg(
-        *[
-            (F.sum(F.when(hit, F.col("f") * S.STORAGE_WEIGHTS[t]).otherwise(0)) + (1 if t == "string" else 0)).alias(t)
-            for t, hit in votes.items()
-        ]
+    votes = {t: lambda v, t=t: S.storage_votes(v)[t] for t in S.STORAGE_WEIGHTS}
+    table = value_table(cells.where(F.col("value").isNotNull() & (F.col("value") != "")), votes)
+    scores = table.groupBy("dataset_id").agg(
+        *[(F.sum(F.when(F.col(t), F.col("c") * S.STORAGE_WEIGHTS[t]).otherwise(0)) + (1 if t == "string" else 0)).alias(t) for t in votes]
     )
     # struct order: highest score, then earliest in the list of types
     ranked = F.array_max(F.array(*[F.struct(F.col(t).alias("s"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, t in enumerate(votes)]))
