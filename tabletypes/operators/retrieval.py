@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans.ordered import top
 from ..plans.session import cut
+from ..plans.skew import CELL_ROWS, heavy_light_join
 from .topdocs import best_candidates
 
 
@@ -102,20 +103,22 @@ def tables_with_seeds(sets: DataFrame, tables_of: DataFrame) -> DataFrame:
 
 
 def row_candidates(
-    seeds: DataFrame, tables_of: DataFrame, caption_tables: DataFrame | None = None, categories: DataFrame | None = None
+    seeds: DataFrame, tables_of: DataFrame, caption_tables: DataFrame | None = None, categories: DataFrame | None = None, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """Candidate entities per query: from tables with a seed, from tables found by the caption, and from entities
     that share a category with a seed; the seeds themselves are left out.
 
-    ``caption_tables(query_id, t_id)``; ``categories(entity, category)``. Work for equal seed sets is shared.
+    ``caption_tables(query_id, t_id)``; ``categories(entity, category)``. Work for equal seed sets is shared. Entities,
+    tables and categories with many rows are joined in blocks.
     """
     sets = seed_sets(seeds)
-    per_set = sets.select("sid", F.explode("seeds").alias("entity")).distinct()
-    by_table = per_set.join(tables_of, "entity").select("sid", "t_id").distinct().join(tables_of, "t_id").select("sid", F.col("entity").alias("cand")).distinct()
+    per_set = cut(sets.select("sid", F.explode("seeds").alias("entity")).distinct())
+    held = cut(heavy_light_join(per_set, tables_of, ["entity"], cell_rows).select("sid", "t_id").distinct())
+    by_table = heavy_light_join(held, tables_of, ["t_id"], cell_rows).select("sid", F.col("entity").alias("cand")).distinct()
     found = [by_table.withColumn("source", F.lit("entity"))]
     if categories is not None:
-        cats = per_set.join(categories, "entity").select("sid", "category").distinct()
-        found.append(cats.join(categories, "category").select("sid", F.col("entity").alias("cand")).distinct().withColumn("source", F.lit("category")))
+        cats = cut(per_set.join(categories, "entity").select("sid", "category").distinct())
+        found.append(heavy_light_join(cats, categories, ["category"], cell_rows).select("sid", F.col("entity").alias("cand")).distinct().withColumn("source", F.lit("category")))
     by_set = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     out = sets.select("query_id", "sid").join(by_set, "sid").select("query_id", "cand", "source")
     if caption_tables is not None:
