@@ -113,3 +113,25 @@ def test_own_caption_score(spark):
     for t, c in caps.items():
         ts = c.split()
         assert got[t] == pytest.approx(sum(log((n + 50 * coll[w] / coll.total()) / (len(ts) + 50)) for w, n in Counter(ts).items()))
+
+
+@pytest.mark.parametrize("shared", [10**6, 0])
+def test_scored_where_they_lie_as_by_bounds(spark, monkeypatch, shared):
+    """Few queries: one shuffle of postings by document and none of (query, document, term) rows."""
+    monkeypatch.setattr(T, "SHARED", shared)
+    monkeypatch.setattr(T, "MEETINGS", 100)
+    texts = corpus(4, 200)
+    queries = dict(corpus(5, 10).items())
+    post, asked = frames(spark, texts, queries)
+    found = R.bm25(asked, post, 7)
+    assert {(r.query_id, r.doc_id, r["rank"], round(r.score, 6)) for r in found.collect()} == brute_bm25(texts, queries, 7)
+    if shared:
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning(query_id") <= 1 and "hashpartitioning(doc_id" in plan and "Exchange hashpartitioning(doc_id#" in plan
+
+
+def test_pairs_of_alike_tables_are_weighted(spark):
+    pairs = spark.createDataFrame([(1, 1, 1000000), (1, 0, 400000), (2, 1, 3), (3, None, 5)], "query_id long, label int, n long")
+    queries = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "query_id long, split string")
+    got = {(r.split, r.query_id, r.n_pos, r.n_neg, r.ratio) for r in R.query_table_pairs(pairs, queries).collect()}
+    assert got == {("a", 1, 1000000, 400000, 2.5), ("a", 2, 3, 0, None), ("b", 3, 0, 0, None)}
