@@ -187,6 +187,45 @@ def test_every_passage_that_two_documents_share_is_reported(spark):
     assert got == [(1, 0, 40, 100, 40, 100, 60), (1, 0, 400, 460, 400, 460, 60)]
 
 
+def test_passages_whose_parts_stand_in_several_earlier_documents(spark):
+    rnd = random.Random(34)
+
+    def around(*parts):
+        return " ".join(f"{prose(rnd, 40, 10**6)} {p}" for p in [*parts, ""])
+
+    pieces = [prose(rnd, 20, 10**6) for _ in range(6)]
+    whole, long = " ".join(pieces[:3]), " ".join(pieces)
+    texts = [around(p) for p in pieces] + [around(whole), around(prose(rnd, 70, 10**6)), around(whole, whole), around(long), around(long)]
+    got = {}
+    for r in passages.passages(frame(spark, texts)).collect():
+        got.setdefault((r.doc_id, r.source_doc_id), []).append((r.start_word, r.end_word, r.source_start, r.source_end, r.equal_words))
+        assert words_of(texts[r.doc_id])[r.start_word : r.end_word] == words_of(texts[r.source_doc_id])[r.source_start : r.source_end]
+    assert set(got) == {(8, 6), (9, 6), (10, 9)}
+    assert sorted(got[8, 6]) == [(40, 100, 40, 100, 60), (140, 200, 40, 100, 60)] and got[9, 6] == [(40, 100, 40, 100, 60)]
+    assert got[10, 9] == [(40, 160, 40, 160, 120)]
+    same = [" ".join(["a"] * n) for n in (70, 300)]  # runs that overlap themselves
+    found = passages.passages(frame(spark, [around(x) for x in same])).collect()
+    assert 1 <= len(found) <= 8 and {(r.doc_id, r.source_doc_id) for r in found} == {(1, 0)}
+
+
+def test_runs_of_equal_words_lie_in_rows_whose_source_has_them(spark):
+    rnd = random.Random(35)
+    shelf = [prose(rnd, rnd.choice([9, 17, 26, 55]), 10**6) for _ in range(14)]
+    texts = [" ".join(rnd.choice([*shelf, prose(rnd, 12, 10**6)]) for _ in range(rnd.randrange(1, 12))) for _ in range(60)]
+    rows = {}
+    for r in passages.passages(frame(spark, texts)).collect():
+        rows.setdefault(r.doc_id, []).append((r.start_word, r.end_word, words_of(texts[r.source_doc_id])[r.source_start : r.source_end]))
+    first, seen = {}, 0
+    for d, text in enumerate(texts):
+        words = words_of(text)
+        for i in range(len(words) - 49):
+            run = words[i : i + 50]
+            if first.setdefault(tuple(run), d) < d:
+                seen += 1
+                assert any(a <= i and z >= i + 50 and any(source[j : j + 50] == run for j in range(len(source) - 49)) for a, z, source in rows.get(d, []))
+    assert seen > 100
+
+
 def test_fenwick_chains_are_the_best_ones():
     rnd = random.Random(6)
     for _ in range(30):
