@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -48,12 +48,111 @@ def count_vectors(terms: DataFrame) -> DataFrame:
     return cut(packed.select("table_id", stored.alias("features")), StructType([StructField("table_id", kind), StructField("features", VectorUDT())]))
 
 
-def topic_model(terms: DataFrame, k: int, iterations: int = 10, seed: int = 1):
-    """Online LDA over the tables; returns the model and (table_id, topic array). The model itself, topics by terms, is held by the driver."""
-    vectors = count_vectors(terms)
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(vectors)
-    topics = model.transform(vectors).select("table_id", vector_to_array("topicDistribution").alias("topic"))
-    return model, topics
+def psi(x, order: int = 0):
+    """Digamma, or trigamma for ``order`` 1, of positive numbers: by recurrence up to 8, then by the asymptotic series."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        if not low.any():
+            break
+        out += np.where(low, -1 / x if order == 0 else 1 / x**2, 0.0)
+        x = x + low
+    y = 1 / x**2
+    if order:
+        return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y * (1 / 30 - y * 5 / 66))))
+    return out + np.log(x) - 1 / (2 * x) - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def _uniform(*cols: Column) -> Column:
+    return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) + 1) / float(1 << 52)
+
+
+def _first_weights(k: int, seed: int) -> Column:
+    """Near-gamma weights with shape 100 and mean 1 of term ``i`` in ``k`` topics, by a cube of a normal draw."""
+
+    def draw(topic: Column) -> Column:
+        z = F.sqrt(-2 * F.log(_uniform("i", topic, F.lit(seed), F.lit(1)))) * F.cos(2 * np.pi * _uniform("i", topic, F.lit(seed), F.lit(2)))
+        return F.pow(F.lit(1 - 1 / 900) + z / 30, F.lit(3.0))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(k)), draw)
+
+
+def _inferred(pairs: DataFrame, weights: DataFrame, totals: np.ndarray, alpha: np.ndarray, stats: bool) -> DataFrame:
+    """(table_id, i, s): per table its topic weights (``i`` null) and, with ``stats``, the expected counts of its terms in the topics."""
+    k = len(alpha)
+
+    def infer(table: pa.Table) -> pa.Table:
+        tf = table.column("tf").to_numpy().astype(float)
+        beta = np.exp(psi(table.column("w").combine_chunks().flatten().to_numpy().reshape(-1, k)) - psi(totals))
+        gamma = np.ones(k)
+        for _ in range(100):
+            theta = np.exp(psi(gamma) - psi(gamma.sum()))
+            ratio = tf / (beta @ theta + 1e-100)
+            last, gamma = gamma, theta * (ratio @ beta) + alpha
+            if np.abs(gamma - last).mean() < 1e-3:
+                break
+        numbers, rows = [None], [gamma]
+        if stats:
+            theta = np.exp(psi(gamma) - psi(gamma.sum()))
+            numbers += table.column("i").to_pylist()
+            rows.append((beta * theta * (tf / (beta @ theta + 1e-100))[:, None]).ravel())
+        lists = pa.ListArray.from_arrays(np.arange(0, k * len(numbers) + 1, k, dtype=np.int32), np.concatenate(rows))
+        first = table.column("table_id")[0]
+        return pa.table({"table_id": pa.array([first.as_py()] * len(numbers), first.type), "i": pa.array(numbers, pa.int32()), "s": lists})
+
+    kind = pairs.schema["table_id"].dataType.simpleString()
+    return pairs.join(weights, "i").groupBy("table_id").applyInArrow(infer, f"table_id {kind}, i int, s array<double>")
+
+
+def topic_model(terms: DataFrame, k: int, iterations: int = 10, seed: int = 1, share: float = 0.05):
+    """Online variational LDA over the tables; (model, topics): ``model(i, w)`` holds the weights of every term in the topics, ``topics(table_id, topic)`` the shares.
+
+    Each round takes a ``share`` of the tables, infers their topics and moves the weights of all terms towards the expected counts. The weights are a table that is
+    rewritten in each round; the driver holds sums per topic and the prior of the topics. A table is inferred in one task, which holds its different terms.
+    """
+    numbered = cut(number_terms(terms))
+    pairs = cut(terms.join(numbered, "term").select("table_id", "i", "tf"))
+    tables = pairs.select("table_id").distinct().count()
+    weights = cut(numbered.select("i", _first_weights(k, seed).alias("w")))
+    alpha, eta = np.full(k, 1 / k), 1 / k
+
+    def totals() -> np.ndarray:
+        return np.array([x or 1.0 for x in weights.agg(*[F.sum(F.col("w")[j]) for j in range(k)]).first()])
+
+    for step in range(1, iterations + 1):
+        drawn = pairs.where(_uniform("table_id", F.lit(seed), F.lit(step)) <= share)
+        found = cut(_inferred(drawn, weights, totals(), alpha, True))
+        logs = found.where("i IS NULL").select("s").mapInArrow(_expected_logs(k), "s array<double>").agg(F.count(F.lit(1)), *[F.avg(F.col("s")[j]) for j in range(k)]).first()
+        if not logs[0]:
+            continue
+        rate = (1024 + step) ** -0.51
+        counts = found.where("i IS NOT NULL").groupBy("i").agg(F.array(*[F.sum(F.col("s")[j]) for j in range(k)]).alias("s"))
+        seen = F.coalesce("s", F.array(*[F.lit(0.0)] * k))
+        moved = F.zip_with("w", seen, lambda w, c: (1 - rate) * w + rate * (c * (tables / logs[0]) + eta))
+        weights = cut(weights.join(counts, "i", "left").select("i", moved.alias("w")))
+        alpha = _moved_prior(alpha, np.array(logs[1:]), rate)
+    shares = F.transform("s", lambda x: x / F.aggregate("s", F.lit(0.0), lambda a, b: a + b))
+    return weights, cut(_inferred(pairs, weights, totals(), alpha, False)).select("table_id", shares.alias("topic"))
+
+
+def _expected_logs(k: int):
+    def run(batches):
+        for batch in batches:
+            gamma = batch.column("s").flatten().to_numpy().reshape(-1, k)
+            logs = psi(gamma) - psi(gamma.sum(axis=1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(logs), pa.list_(pa.float64()))], names=["s"])
+
+    return run
+
+
+def _moved_prior(alpha: np.ndarray, logs: np.ndarray, rate: float) -> np.ndarray:
+    """A Newton step of the Dirichlet prior towards the mean expected logarithms of the topic shares; the old prior if it would leave the positive numbers."""
+    slope = logs - (psi(alpha) - psi(alpha.sum()))
+    curve, common = -psi(alpha, 1), psi(alpha.sum(), 1)
+    shift = (slope / curve).sum() / (1 / common + (1 / curve).sum())
+    moved = alpha - rate * (slope - shift) / curve
+    return moved if (moved > 0).all() else alpha
 
 
 def topic_clusters(topics: DataFrame, k: int = 20, seed: int = 1) -> DataFrame:

@@ -31,6 +31,30 @@ def test_topics_cover_every_table(spark):
     assert len({int(np.argmax(rows[f"t{i}"])) for i in range(0, 20, 2)}) == 1
 
 
+def test_topic_weights_are_a_table_of_all_terms(spark):
+    bags = {f"t{i}": {f"{'ab'[i % 2]}{j}": 1 + j for j in range(30)} for i in range(40)}
+    terms = spark.createDataFrame([(t, w, n) for t, ws in bags.items() for w, n in ws.items()], "table_id string, term string, tf long")
+    model, topics = ML.topic_model(terms, 2, 5, share=1.0)
+    number = {r.term: r.i for r in ML.number_terms(terms).collect()}
+    weights = {r.i: r.w for r in model.collect()}  # rows, no model in the driver
+    assert sorted(weights) == sorted(number.values()) and all(len(w) == 2 and min(w) > 0 for w in weights.values())
+    side = {w: int(np.argmax(weights[i])) for w, i in number.items()}
+    assert {side[w] for w in number if w[0] == "a"} != {side[w] for w in number if w[0] == "b"} and len({(w[0], side[w]) for w in number}) == 2
+    rows = {r.table_id: r.topic for r in topics.collect()}
+    assert len(rows) == 40 and all(int(np.argmax(rows[t])) == side[next(iter(bags[t]))] and max(rows[t]) > 0.9 for t in bags)
+
+
+def test_digamma_and_trigamma():
+    euler = 0.5772156649015329
+    assert ML.psi(np.array([1.0, 0.5, 1e-3])) == pytest.approx([-euler, -euler - 2 * np.log(2), -1000.5755719318103], rel=1e-10)
+    assert ML.psi(np.array([1.0, 0.5]), 1) == pytest.approx([np.pi**2 / 6, np.pi**2 / 2], rel=1e-9)
+
+
+def test_topics_of_nothing(spark):
+    terms = spark.createDataFrame([], "table_id string, term string, tf long")
+    assert ML.topic_model(terms, 2, 2)[1].collect() == []
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 64, 65, 1000])
 def test_shuffled_numbers_are_a_bijection(spark, size):
     df = spark.range(size).withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2))))
