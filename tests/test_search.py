@@ -96,6 +96,7 @@ def test_candidates_by_column(spark):
             if both:
                 want.add((q, cand, len({s for s, _, _ in both}), len({(t, c) for _, t, c in both})))
     assert {tuple(r) for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3  # the entities of the columns are met once
 
 
 def test_caption_sources_join_the_candidates(spark):
