@@ -6,13 +6,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from datetime import date
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from tabletypes.llm import decontaminate, line_dedup, minhash, mixing, passages, quality, sharding, suffix_index, token_counts, toxicity
-from tabletypes.llm.arrays import union_spans
+from tabletypes.llm.arrays import mix, union_spans
 from tabletypes.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -187,6 +188,20 @@ def test_every_passage_that_two_documents_share_is_reported(spark):
     assert got == [(1, 0, 40, 100, 40, 100, 60), (1, 0, 400, 460, 400, 460, 60)]
 
 
+def test_matching_blocks_are_those_of_difflib():
+    rng, xs, ys, want = random.Random(5), [], [], []
+    for words in (2, 3, 12, 1000) * 60:
+        x = [rng.randrange(words) for _ in range(rng.randrange(120))]
+        y = list(x)
+        for _ in range(rng.randrange(20) if y else 0):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(3)] = [rng.randrange(words) for _ in range(rng.randrange(3))]
+        xs.append(mix(np.array(x, np.uint64)).tobytes())
+        ys.append(mix(np.array(y, np.uint64)).tobytes())
+        want.append([b for b in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if b.size >= passages.SHORTEST])
+    assert list(passages.matching_blocks(xs, ys)) == want
+
+
 def test_passages_whose_parts_stand_in_several_earlier_documents(spark):
     rnd = random.Random(34)
 
