@@ -93,3 +93,20 @@ def test_draws_follow_the_weights(spark):
         drawn = Counter(r.cand for r in D.negative_candidates(examples, none, vocabulary, 2, 1, small).where("slot = 2").collect())
         total = sum(counts.values())
         assert sum((drawn[i] - 3000 * w / total) ** 2 / (3000 * w / total) for i, w in counts.items()) < 60  # chi-squared, 29 degrees
+
+
+def test_draws_that_cannot_be_among_the_first_are_dropped(spark):
+    vocabulary = spark.createDataFrame([(i, 8 + i % 8, 3) for i in range(200)], "entity long, cnt long, cls int")
+    numbered = vocabulary.withColumn("at", F.col("entity") + 1)
+    examples = spark.range(100).select(F.col("id").alias("example_id"))
+    large = [(3, 200, sum(8 + i % 8 for i in range(200)))]
+    firsts, rows = [], []
+    for scale in (1, 8):
+        best = {}
+        drawn = D._draws(examples, large, [], numbered, 5, scale, 3).collect()
+        for r in drawn:
+            best[r.example_id, r.cand] = min(r.time, best.get((r.example_id, r.cand), r.time))
+        firsts.append({e: sorted((t, c) for (x, c), t in best.items() if x == e)[:5] for e in range(100)})
+        rows.append(len(drawn))
+    assert firsts[0] == firsts[1] and all(len(x) == 5 for x in firsts[0].values())
+    assert rows[1] < 100 * 15  # of 168 arrivals of an example
