@@ -241,6 +241,30 @@ def test_runs_of_equal_words_lie_in_rows_whose_source_has_them(spark):
     assert seen > 100
 
 
+def test_every_place_of_runs_that_overlap_themselves_lies_in_a_row(spark):
+    rnd = random.Random(36)
+    unit = prose(rnd, 7, 10**6)
+    around = [prose(rnd, 40, 10**6) for _ in range(12)]
+    same = [" ".join(["a"] * n) for n in (55, 300)]
+    texts = [f"{around[0]} {same[0]} {around[1]}", f"{around[2]} {' '.join([unit] * 11)} {around[3]}", f"{around[4]} {same[1]} {around[5]}", f"{around[6]} {' '.join([unit] * 60)} w {same[1]}"]
+    ids = [0, 1, 2, 3, 3, 4]  # a document whose rows share an id
+    texts += [f"{around[7]} {same[1]} {around[8]}", None]
+    rows, seen = {}, 0
+    for r in passages.passages(frame(spark, texts, ids)).collect():
+        assert 5 * r.equal_words >= 4 * max(r.end_word - r.start_word, r.source_end - r.source_start)
+        rows.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, rows.values())) < 120
+    words = [(d, words_of(t)) for d, t in zip(ids, texts, strict=True)]
+    has = lambda x, run: any(x[j : j + 50] == run for j in range(len(x) - 49))
+    for d, own in words:
+        for i in range(len(own) - 49):
+            run = own[i : i + 50]
+            if any(e < d and has(x, run) for e, x in words):
+                seen += 1
+                assert any(r.start_word <= i and r.end_word >= i + 50 and any(e == r.source_doc_id and has(x[r.source_start : r.source_end], run) for e, x in words) for r in rows.get(d, []))
+    assert seen > 800
+
+
 def test_fenwick_chains_are_the_best_ones():
     rnd = random.Random(6)
     for _ in range(30):
