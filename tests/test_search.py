@@ -99,6 +99,18 @@ def test_candidates_by_column(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3  # the entities of the columns are met once
 
 
+def test_entities_of_a_column_travel_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(E, "LIST_ROWS", 3)
+    columns = spark.createDataFrame([(f"e{i}", t, 1) for t in range(3) for i in range(t, 9 + t)] + [(None, 0, 1)], "entity string, t_id long, c_id int")
+    seeds = spark.createDataFrame([(1, "e0"), (2, "e2"), (2, "e10"), (3, "e2"), (3, "e10"), (4, None)], "query_id long, seed string")
+    got = E.cell_candidates_by_column(seeds, columns)
+    want = {(1, f"e{i}", 1, 1) for i in range(9)}
+    want |= {(q, f"e{i}", 1 + (i >= 2), sum(t <= i < 9 + t for t in range(3))) for q in (2, 3) for i in range(11)}
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not any("cand#" in x for x in plan.split("\n") if "Exchange hashpartitioning(sid" in x)  # no row of a query and an entity is shuffled
+
+
 def test_caption_sources_join_the_candidates(spark):
     of = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 3), ("a", 3)], "entity string, t_id long")
     seeds = spark.createDataFrame([(1, "a"), (2, "zz")], "query_id long, seed string")
